@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a Jaccard similarity of at least 0.8, and their groups.
 
-1. Each document's words give its set of hashed shingles. Documents of equal sets form one class, named by a 128-bit
-   digest of the set; from here on a class is one node, however many copies it has.
+1. Each document's words give its set of hashed shingles. Documents of equal sets (by a 128-bit digest) form one class;
+   from here on its first row stands for the class as one node, however many copies it has.
 2. Shingle frequencies of all documents are counted in a table of BUCKETS counters. The counters, then the hash, give
    the one order of shingles, rarest first.
 3. Prefix filter: a class is posted under its first n - ceil(t * n) + 1 shingles, with its size and the place of each.
@@ -23,44 +23,62 @@ by their sets as all others. An empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, stash
+from .common import drop_stash, stash
 from .components import smallest_reachable
 
 SPAN, BUCKETS, CHUNK, SPLIT, ROUNDS, WIDE = 5, 1 << 22, 1 << 14, 64, 6, 8
-_WORDS, _FOLD = re.compile(WORD), str.maketrans(UPPER, LOWER)
+REPRESENTATIVES = 4_000_000  # so many row numbers are sent to the executors at most; beyond, rows are joined
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class Shingles(dict):
-    """text -> its sorted distinct shingle hashes; remembers words' hashes."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
+_STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
+
+class Shingles:
+    """Sorted distinct shingle hashes of whole texts, in array operations only.
+
+    A word's hash is sum(BYTE[b_k] * STEP ** k) mod 2**64 over its bytes, from running sums over the text: the sum up to
+    its end less the sum up to its start, times STEP ** -start. Shingles mix the hashes of their words.
+    """
+
+    def __init__(self):
+        self.powers = self.backs = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = 1 << n.bit_length()
+            self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _STEP, np.uint64))])
+            self.backs = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _BACK, np.uint64))])
 
     def of(self, text: str | None) -> np.ndarray:
-        words = _WORDS.findall((text or "").translate(_FOLD))
-        h = np.array(list(map(self.__getitem__, words)), np.uint64)
-        if not len(h):
-            return h
+        raw = np.frombuffer(f" {text or ''} ".encode("utf-8", "surrogatepass").lower(), np.uint8)  # bytes: A-Z only
+        edge = np.flatnonzero(np.diff(_SPACE[raw]))
+        begin, end = edge[::2] + 1, edge[1::2] + 1
+        if not len(begin):
+            return np.zeros(0, np.uint64)
+        self._grow(len(raw))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * self.powers[: len(raw)], out=total[1:])
+        h = (total[end] - total[begin]) * self.backs[begin]
+        h ^= h >> np.uint64(29)
         span = min(SPAN, len(h))
         n = len(h) - span + 1
         code = np.full(n, span, np.uint64)
         for k in range(span):
             code = (code ^ h[k : k + n]) * _MIX[k]
             code ^= code >> np.uint64(31)
-        return np.unique(code)
+        code.sort()
+        return code[np.concatenate([[True], code[1:] != code[:-1]])]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -72,28 +90,25 @@ def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def summaries(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text): n and the digest of its set. Further rows carry counters: chunk and counts."""
+def summaries(rows: DataFrame) -> DataFrame:
+    """For each row (row, text): n and the digest of its set. Further rows carry counters: chunk and counts."""
 
     def summarize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, counts = Shingles(), np.zeros(BUCKETS, np.int32)
         for frame in frames:
-            rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
-                s = shingles.of(text)
-                np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-                rows.append((None if pd.isna(doc) else int(doc), len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()))
-            yield _typed(pd.DataFrame(rows, columns=["doc_id", "n", "node"]).assign(chunk=-1, counts=None))
+            sets = [shingles.of(t) for t in frame["text"]]
+            for at in range(0, len(sets), 500):
+                grams = np.concatenate([*sets[at : at + 500], np.zeros(0, np.uint64)])
+                spots, n = np.unique((grams & np.uint64(BUCKETS - 1)).astype(np.int64), return_counts=True)
+                counts[spots] += n.astype(np.int32)
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield pd.DataFrame({"row": frame["row"], "n": [len(s) for s in sets], "digest": digests, "chunk": -1, "counts": None})
         for at in range(0, BUCKETS, CHUNK):
             part = counts[at : at + CHUNK]
             if part.any():
-                yield _typed(pd.DataFrame({"doc_id": [None], "n": [0], "node": [None], "chunk": [at // CHUNK], "counts": [part.astype("<u4").tobytes()]}))
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(summarize, "doc_id long, n long, node binary, chunk int, counts binary")
+                yield pd.DataFrame({"row": [-1], "n": [0], "digest": [None], "chunk": [at // CHUNK], "counts": [part.astype("<u4").tobytes()]})
 
-
-def _typed(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame.astype({"doc_id": "Int64", "n": "int64", "chunk": "int32"})
+    return rows.mapInPandas(summarize, "row long, n int, digest binary, chunk int, counts binary")
 
 
 def counters(rows: DataFrame) -> np.ndarray:
@@ -117,29 +132,33 @@ def counters(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(docs: DataFrame, ranks, percent: int) -> DataFrame:
-    """(gram, node, n, place) for the prefix of every row's set."""
+def postings(rows: DataFrame, ranks, chosen, percent: int) -> DataFrame:
+    """(gram, node, n, place) for the prefix of the set of every row (row, text); of the rows in chosen only, if given."""
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, rank = Shingles(), ranks.value
-        grams, nodes, sizes, places = [], [], [], []
+        out: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for frame in frames:
-            for text in frame["text"]:
+            numbers = frame["row"].to_numpy(np.int64)
+            if chosen is not None:
+                keep = chosen.value[np.minimum(np.searchsorted(chosen.value, numbers), len(chosen.value) - 1)] == numbers
+                frame, numbers = frame[keep], numbers[keep]
+            for row, text in zip(numbers.tolist(), frame["text"]):
                 s = shingles.of(text)
                 if not len(s):
                     continue
-                order = np.argsort(rank[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")[: prefix_length(len(s), percent)]
-                grams.append(s[order].view(np.int64))
-                nodes += [hashlib.blake2b(s.tobytes(), digest_size=16).digest()] * len(order)
-                sizes.append(np.full(len(order), len(s)))
-                places.append(np.arange(len(order)))
-                if len(nodes) > 100_000:
-                    yield pd.DataFrame({"gram": np.concatenate(grams), "node": nodes, "n": np.concatenate(sizes), "place": np.concatenate(places)})
-                    grams, nodes, sizes, places = [], [], [], []
-        if nodes:
-            yield pd.DataFrame({"gram": np.concatenate(grams), "node": nodes, "n": np.concatenate(sizes), "place": np.concatenate(places)})
+                size = prefix_length(len(s), percent)
+                order = np.argsort(rank[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")[:size]
+                out.append((s[order].view(np.int64), np.full(size, row), np.full(size, len(s)), np.arange(size)))
+                held += size
+                if held > 200_000:
+                    yield pd.DataFrame(dict(zip(("gram", "node", "n", "place"), map(np.concatenate, zip(*out)))))
+                    out, held = [], 0
+        if out:
+            yield pd.DataFrame(dict(zip(("gram", "node", "n", "place"), map(np.concatenate, zip(*out)))))
 
-    return docs.select("text").mapInPandas(post, "gram long, node binary, n long, place long")
+    return rows.select("row", "text").mapInPandas(post, "gram long, node long, n int, place int")
 
 
 def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
@@ -162,7 +181,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             yield pd.Series([np.bincount((shingles.of(t) >> np.uint64(58)).astype(np.int64), minlength=SPLIT).astype("<u4").tobytes() for t in batch])
 
-    def near(batches) -> Iterator[pd.Series]:
+    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             keep = []
             for p, q in zip(a, b):
@@ -170,7 +189,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep.append(int(np.minimum(p, q).sum()) >= least_overlap(int(p.sum()), int(q.sum()), percent))
             yield pd.Series(keep)
 
-    def similar(batches) -> Iterator[pd.Series]:
+    def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         shingles = Shingles()
         for a, b in batches:
             out = []
@@ -180,10 +199,6 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 out.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pd.Series(out)
 
-    from collections.abc import Iterator as It
-
-    near.__annotations__ = {"batches": It[tuple[pd.Series, pd.Series]], "return": It[pd.Series]}
-    similar.__annotations__ = dict(near.__annotations__)
     counted = stash(texts.select("node", F.pandas_udf(ranges, "binary")("text").alias("counts")))
     x, y = counted.select(F.col("node").alias("x"), F.col("counts").alias("x_counts")), counted.select(F.col("node").alias("y"), F.col("counts").alias("y_counts"))
     close = stash(pairs.join(x, "x").join(y, "y").filter(F.pandas_udf(near, "boolean")("x_counts", "y_counts")).select("x", "y"))
@@ -191,11 +206,10 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return close.join(x, "x").join(y, "y").filter(F.pandas_udf(similar, "boolean")("x_text", "y_text")).select("x", "y")
 
 
-def _texts_of(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the pairs' nodes: ids of one member each, then their rows."""
-    nodes = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
-    chosen = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    return stash(docs.join(chosen, "row").select("node", "text"))
+def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the pairs' nodes; a node is the row that stands for its class."""
+    nodes = pairs.select(F.col("x").alias("row")).union(pairs.select(F.col("y").alias("row"))).distinct()
+    return stash(rows.join(nodes, "row", "left_semi").select(F.col("row").alias("node"), "text"))
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
@@ -203,13 +217,20 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, rounds: int = ROUNDS) ->
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     placed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    found = stash(summaries(placed.select(F.col("row").alias("doc_id"), "text")))
-    members = found.filter("chunk < 0").select(F.col("doc_id").alias("row"), "n", "node")
+    found = stash(summaries(placed.select("row", "text")))
+    sets = found.filter("chunk < 0").select("row", "n", "digest")
+    classes = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"))
+    members = stash(sets.join(classes, "digest", "left").select("row", "n", "node"))
     ranks = spark.sparkContext.broadcast(counters(found))
-    # Copies post the same shingles: one row for each (shingle, class), made before the shuffle where copies meet.
-    posted = postings(docs, ranks, percent).groupBy("gram", "node").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+    nodes = members.filter("row = node").select("row")
+    if nodes.count() <= REPRESENTATIVES:
+        chosen = spark.sparkContext.broadcast(np.sort(np.array([r.row for r in nodes.collect()] or [-1], np.int64)))
+        posted = stash(postings(placed, ranks, chosen, percent))
+    else:
+        posted = stash(postings(placed.join(nodes, "row", "left_semi"), ranks, None, percent))
     shared = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("gram")
     lists = stash(posted.join(shared, "gram"))
+    drop_stash(posted)
 
     links, labels, tested, turn, fresh = None, None, None, 0, True
     while True:
@@ -228,7 +249,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, rounds: int = ROUNDS) ->
             y = y.groupBy("gram").agg(F.min_by(F.struct("y", "y_n", "y_at", "y_label"), choice).alias("hub")).select("gram", "hub.*")
         pairs = _filtered(x.join(y, "gram").filter("x_label <> y_label" + (" and x < y" if every else "")), percent)
         pairs = stash(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
-        good = stash(verified(pairs, _texts_of(placed, members, pairs), percent).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        good = stash(verified(pairs, _texts_of(placed, pairs), percent).select(F.col("x").alias("a"), F.col("y").alias("b")))
         fresh = not good.isEmpty()
         if fresh:
             links = good if links is None else links.union(good)
@@ -237,10 +258,9 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, rounds: int = ROUNDS) ->
             break
         tested, turn = pairs if tested is None else tested.union(pairs), turn + 1
 
-    rows = placed.select("row", "doc_id").join(members, "row")
-    named = rows if labels is None else rows.join(labels, "node", "left")
-    group = F.coalesce("label", "node") if labels is not None else F.col("node")
-    named = stash(named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, group).alias("group")))
+    named = placed.select("row", "doc_id").join(members, "row")
+    named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left")
+    named = stash(named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "node").alias("group")))
     least = named.filter("`group` is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -11,7 +11,7 @@
 5. Each remaining pair is verified once, on both whole texts.
 
 Only groups are asked for, so pairs inside a group that is already one need no check. While the postings of the shingles
-would make more than WIDE pairs each, rounds pair every posting with one hub of its shingle only (linear in the
+would make more than WIDE pairs each, rounds pair every posting with HUBS hubs of its shingle only (linear in the
 postings), verify, and unite; the last step pairs all postings of a shingle that still lie in different groups. That
 misses no link between groups: a pair left out lies inside one group, and no pair is verified twice.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import drop_stash, stash
 from .components import smallest_reachable
 
-SPAN, BUCKETS, CHUNK, SPLIT, ROUNDS, WIDE = 5, 1 << 22, 1 << 14, 64, 6, 8
+SPAN, BUCKETS, CHUNK, SPLIT, ROUNDS, WIDE, HUBS = 5, 1 << 22, 1 << 14, 256, 4, 2, 3
 REPRESENTATIVES = 4_000_000  # so many row numbers are sent to the executors at most; beyond, rows are joined
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -179,7 +179,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def ranges(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingles = Shingles()
         for batch in batches:
-            yield pd.Series([np.bincount((shingles.of(t) >> np.uint64(58)).astype(np.int64), minlength=SPLIT).astype("<u4").tobytes() for t in batch])
+            yield pd.Series([np.bincount((shingles.of(t) >> np.uint64(56)).astype(np.int64), minlength=SPLIT).astype("<u4").tobytes() for t in batch])
 
     def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
@@ -212,8 +212,8 @@ def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return stash(rows.join(nodes, "row", "left_semi").select(F.col("row").alias("node"), "text"))
 
 
-def jaccard_groups(docs: DataFrame, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs (a stored table: rows are matched by their place)."""
+def grouped_rows(docs: DataFrame, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
+    """row, doc_id, n_shingles and group for every row of docs; row is the place in docs, a stored table."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     placed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -241,12 +241,15 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, rounds: int = ROUNDS) ->
         if not wide:
             break
         every = wide <= WIDE * size or not fresh or turn >= rounds
-        own = stash(own.join(open_.select("gram"), "gram")) if labels is not None else own
+        if labels is not None:  # what is settled stays settled: later turns see the open shingles only
+            own = stash(own.join(open_.select("gram"), "gram"))
+            lists = own.drop("label")
         x = own.select("gram", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("place").alias("x_at"), F.col("label").alias("x_label"))
         y = own.select("gram", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("place").alias("y_at"), F.col("label").alias("y_label"))
-        if not every:  # one hub for each shingle: another choice each turn
-            choice = F.struct(F.xxhash64("y_label", F.lit(turn)), F.xxhash64("y", F.lit(turn)), F.col("y"))
-            y = y.groupBy("gram").agg(F.min_by(F.struct("y", "y_n", "y_at", "y_label"), choice).alias("hub")).select("gram", "hub.*")
+        if not every:  # HUBS hubs for each shingle: other choices each turn
+            hub = F.struct("y", "y_n", "y_at", "y_label")
+            choices = [F.min_by(hub, F.struct(F.xxhash64("y", F.lit(HUBS * turn + h)), F.col("y"))) for h in range(HUBS)]
+            y = y.groupBy("gram").agg(F.array_distinct(F.array(*choices)).alias("hubs")).select("gram", F.inline("hubs"))
         pairs = _filtered(x.join(y, "gram").filter("x_label <> y_label" + (" and x < y" if every else "")), percent)
         pairs = stash(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
         good = stash(verified(pairs, _texts_of(placed, pairs), percent).select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -260,16 +263,20 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, rounds: int = ROUNDS) ->
 
     named = placed.select("row", "doc_id").join(members, "row")
     named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left")
-    named = stash(named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "node").alias("group")))
-    least = named.filter("`group` is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return stash(named.select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "node").alias("group")))
+
+
+def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest id of the row's group, for every row of docs."""
+    rows = grouped_rows(docs, **options)
+    least = rows.filter("`group` is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    alone = F.col("group").isNull() | F.col("doc_id").isNull()
+    return rows.join(least, "group", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: of each group the one with the smallest id (one row of it); rows without words all stay."""
-    groups = jaccard_groups(docs, **options)
-    stay = groups.filter((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id"))).select("doc_id", (F.col("n_shingles") == 0).alias("__bare")).distinct()
-    marked = docs.join(stay.select(F.col("doc_id").alias("__id"), "__bare"), docs["doc_id"].eqNullSafe(F.col("__id"))).drop("__id")
-    bare = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
-    marked = marked.filter(F.col("__bare") == bare)
-    return marked.filter("__bare").unionByName(marked.filter("not __bare").dropDuplicates(["doc_id"])).drop("__bare")
+    """The rows of docs that stay: of each group the one with the smallest id (the first of its rows); rows without words all stay."""
+    rows = grouped_rows(docs, **options)
+    first = rows.filter("`group` is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
+    stay = first.select(F.col("first.row").alias("__row")).unionByName(rows.filter("`group` is null").select(F.col("row").alias("__row")))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(stay, "__row", "left_semi").select(*docs.columns)

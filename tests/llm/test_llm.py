@@ -1,0 +1,396 @@
+"""The operators of partloom.llm against brute force, exact round trips and held-out accuracy, with the odd cases."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from partloom.llm import components, mixing, ngram_join, packing, quality, rules, secrets, suffix_tree, topk, toxicity, warc
+from partloom.llm.queries import tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, component_id string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def doc(i, text, source="a", lang="en"):
+    return (i, text, lang, source, None if text is None else len(text), 0.5, "x", "y")
+
+
+def words(seed, n):
+    r = random.Random(seed)
+    return [f"w{r.randrange(400)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def odd(stored):
+    """Nulls, empty, blank and very long texts, repeated rows and ids, a null source, clashing columns."""
+    long = " ".join(words(1, 30_000))
+    rows = [doc(1, None), doc(2, ""), doc(3, " \n\t"), doc(4, "one two three"), doc(5, "one two three"), doc(5, "one two three"), doc(None, "null id here", None), doc(7, long, None), doc(8, long + " end"), doc(9, "ÄÖ ß 漢字   x" * 30, "b")]
+    return stored(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(stored):
+    return stored([], DOCS, 1)
+
+
+@pytest.fixture(scope="module")
+def no_labels(stored):
+    return stored([], "doc_id long, quality int, toxic int", 1)
+
+
+# --- top-k -----------------------------------------------------------------------------------------------------------
+
+
+def brute_top_k(rows, k):
+    vectors = {}
+    for i, e in rows:
+        if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
+            v = [math.floor(256 * x) for x in e]
+            vectors[i] = max(vectors.get(i, v), v)
+    out = set()
+    for q, v in vectors.items():
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors.items() if i != q and len(w) == len(v))
+            out |= {(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)}
+    return out
+
+
+def test_top_k(spark, stored, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.normal(0, r.choice([0.1, 1, 20]), 6)]) for i in range(700)]
+    rows += [(1000, rows[50][1]), (1001, rows[50][1]), (1002, [0.0] * 6), (1050, None), (1100, [1.0, None]), (1150, [float("nan")] * 6), (None, [1.0] * 6), (1200, [1e14, -1e14, 3.0, 0.0, 0.0, 0.0]), (1250, [0.5, 0.5]), (1300, []), (100, rows[100][1])]
+    table = stored(rows, "vec_id long, embedding array<double>", 3)
+    monkeypatch.setattr(topk, "PASS", 100)
+    got = topk.top_k(table.filter("vec_id is null or vec_id <> 1200"), F.col("vec_id") % 50 == 0).collect()
+    assert {(x.query_id, x.rank, x.vec_id, x.score) for x in got} == brute_top_k([x for x in rows if x[0] != 1200], 5)
+    assert topk.top_k(stored([], "vec_id long, embedding array<double>", 1), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_bucket_prunes_without_loss():
+    r = np.random.default_rng(3)
+    v = np.floor(r.normal(0, 60, (500, 8))).astype(np.int64)
+    q = np.floor(r.normal(0, 60, (40, 8))).astype(np.int64)
+    scores = q @ v.T
+    bounds = np.sort(scores, 1)[:, -5].astype(float)
+    found, paths = topk.search_bucket(np.arange(1000, 1040), q, bounds, np.arange(500), v, 5)
+    assert paths[2] > 0
+    for i in range(40):
+        want = sorted((-s, j) for j, s in enumerate(scores[i]))[:5]
+        assert [(-s, j) for a, j, s in found if a == 1000 + i] == want
+
+
+# --- mixing ----------------------------------------------------------------------------------------------------------
+
+
+def test_mixing(spark, stored, odd, empty):
+    r = random.Random(5)
+    docs = [doc(i, " ".join(words(i, r.randrange(1, 60))), f"s{r.choice([0] * 6 + [1, 2, 3, 4])}") for i in range(900)] + [doc(1000, None, None)]
+    got = mixing.mix_sources(stored(docs, DOCS)).toPandas().merge(__import__("pandas").DataFrame([(d[0], d[3]) for d in docs], columns=["doc_id", "source"]), on="doc_id")
+    assert (got["taken"] <= 2 * got["size"]).all() and len(got) == 901
+    assert abs(got.groupby("source_size")["target"].max().sum() - 1.5 * got["size"].sum()) < 1e-6
+    for _, g in got.groupby("source", dropna=False):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 60
+    again = mixing.mix_sources(stored(docs, DOCS, 5)).toPandas()
+    assert again.sort_values("doc_id")["taken"].tolist() == got.sort_values("doc_id")["taken"].tolist()
+    assert mixing.mix_sources(odd).count() == odd.count()
+    out = mixing.emit_mixture(odd)
+    assert out.columns == odd.columns and out.count() == mixing.mix_sources(odd).agg(F.sum("copies")).first()[0]
+    assert mixing.mix_sources(empty).count() == 0 == mixing.emit_mixture(empty).count()
+
+
+# --- rules -----------------------------------------------------------------------------------------------------------
+
+
+def brute_statistics(text):
+    w = WORD.findall(text or "")
+    c = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    hit = {j for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    seen, again = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            again += line in seen
+            seen.add(line)
+    return [len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in text or ""), again, len(hit)]
+
+
+def test_rule_statistics(odd):
+    texts = [r.text for r in odd.collect()] + ["a b c d e f g h " * 3, "a\nb\na\n \n \na b # $", "x y " * 9]
+    for t in texts:
+        assert rules.statistics(t)[:5] == brute_statistics(t)
+
+
+def junk(i):
+    return " ".join(w + "&&&" for w in words(i, 80))
+
+
+def test_rules(stored, odd, empty, no_labels):
+    docs = [doc(i, junk(i) if i % 8 == 0 else " ".join(words(i, 60 + i % 90)) + ".") for i in range(800)]
+    labels = stored([(i, int(i % 8 != 0), 0) for i in range(0, 800, 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in rules.apply_rules(stored(docs, DOCS), labels).collect()}
+    assert sum(got[i].kept for i in range(800) if i % 8) > 0.97 * 700
+    assert sum(got[i].kept for i in range(0, 800, 8)) < 10
+    odd_got = rules.apply_rules(odd, no_labels).collect()
+    assert len(odd_got) == odd.count() and all(not r.kept for r in odd_got if r.n_words < 20)
+    assert rules.apply_rules(empty, no_labels).count() == 0
+
+
+# --- packing ---------------------------------------------------------------------------------------------------------
+
+
+def test_packing_round_trip(odd, empty):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    pieces = packing.pack_documents(odd, tokenizer_path()).toPandas()
+    ids = [[*tok.encode(r.text or "", add_special_tokens=False).ids, 2] for r in odd.collect()]
+    assert pieces["length"].sum() == sum(map(len, ids))
+    for r, own in zip(odd.collect(), ids):
+        mine = pieces[(pieces["doc_id"] == r.doc_id if r.doc_id is not None else pieces["doc_id"].isna()) & (pieces["doc_tokens"] == len(own))]
+        for p in mine.itertuples():
+            assert p.ids_crc32 == zlib.crc32(np.array(own[p.start : p.start + p.length], "<u4").tobytes())
+    for _, s in pieces.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s["offset"].tolist() == [0, *s["length"].cumsum()[:-1]] and s["length"].sum() <= 4096
+    assert packing.pack_documents(empty, tokenizer_path()).count() == 0
+
+
+def test_encoder_equals_tokenizer():
+    encoder = packing.WordEncoder(tokenizer_path())
+    texts = ["don't STOP <|endoftext|> x", "naïve ÄÖÜ ẞ Σίσυφος ﬁ", "áb ½² x²y 12.5% 'tis", "\x1c\x85 a b﻿z", "", "İstanbul ªº µm ×÷", "foo.bar's <| x|>", "日本語テキスト。abc", "THE The the!! ***a*** 1234"]
+    for text, ids in zip(texts, encoder(texts)):
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_cuts_are_optimal():
+    r = random.Random(4)
+    for _ in range(60):
+        position = [0] + sorted(r.sample(range(1, 60), r.randrange(8, 30)))
+        if max(b - a for a, b in zip(position, position[1:])) > 16:
+            continue
+        penalty = [r.choice([0.0, 2.0, 5.0]) for _ in position]
+        cost = [0.0] + [math.inf] * (len(position) - 1)
+        for i in range(1, len(position)):
+            for j in range(i):
+                n = position[i] - position[j]
+                if n <= 16:
+                    cost[i] = min(cost[i], cost[j] + (0 if n & (n - 1) == 0 else 16 - n) + penalty[i] + 1)
+        cuts = packing.choose_cuts(position, penalty, 16, 1.0, 1)
+        total, last = 0.0, 0
+        for i in cuts:
+            n = position[i] - last
+            total, last = total + (0 if n & (n - 1) == 0 else 16 - n) + penalty[i] + 1, position[i]
+        assert last == position[-1] and abs(total - cost[-1]) < 1e-9
+
+
+# --- classifiers -----------------------------------------------------------------------------------------------------
+
+
+def test_quality(stored, odd, empty, no_labels):
+    docs = [doc(i, junk(i) if i % 5 == 0 else " ".join(words(i, 60))) for i in range(600)]
+    labels = stored([(i, int(i % 5 != 0), 0) for i in range(600)] + [(7, None, None), (None, 1, 1), (9999, 0, 0)], "doc_id long, quality int, toxic int")
+    table = stored(docs, DOCS)
+    got = quality.score_quality(table, labels).toPandas()
+    held = got[got["held_out"]]
+    assert (held["predicted"] == (held["doc_id"] % 5 != 0)).mean() > 0.97
+    assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got["doc_id"]]).all()
+    assert quality.keep_quality(table, labels).columns == table.columns
+    other = quality.score_quality(odd, labels).toPandas()
+    assert len(other) == odd.count() and other["score"].between(0, 1).all()
+    assert (quality.score_quality(odd, no_labels).toPandas()["score"] == 0.5).all()
+    assert quality.score_quality(empty, labels).count() == 0
+
+
+def test_toxicity(stored, odd, empty, no_labels):
+    docs = []
+    for i in range(900):
+        w = words(i, 60)
+        if i % 6 == 0:
+            w[i % 50] = f"vilify{'abcdefghij'[i % 10]}{'klmnop'[i % 6]}"
+        docs.append(doc(i, " ".join(w).replace("w", "wa"), lang="fr" if i % 2 else "en"))
+    labels = stored([(i, 1, int(i % 6 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(stored(docs, DOCS), labels).toPandas()
+    held = got[got["held_out"]]
+    assert (held["predicted"] == (held["doc_id"] % 6 == 0)).mean() > 0.95
+    swapped = toxicity.score_toxicity(stored([(*d[:2], "xx", *d[3:]) for d in docs], DOCS), labels).toPandas()
+    assert np.allclose(got.sort_values("doc_id")["score"], swapped.sort_values("doc_id")["score"])
+    other = toxicity.score_toxicity(odd, labels).toPandas()
+    assert len(other) == odd.count() and other["score"].between(0, 1).all()
+    assert toxicity.score_toxicity(empty, no_labels).count() == 0
+
+
+# --- suffix tree -----------------------------------------------------------------------------------------------------
+
+
+def test_suffix_tree(stored, odd, empty):
+    docs = [doc(i, " ".join(words(i, 50))) for i in range(300)] + [doc(400, None), doc(401, ""), doc(402, "Zebra ZEBRA unseen☃")]
+    got = {r.doc_id: r for r in suffix_tree.score_texts(stored(docs, DOCS)).collect()}
+    low = lambda t: WORD.findall((t or "").translate(suffix_tree._FOLD)) + [None]
+    count = Counter(w for d in docs if zlib.crc32(str(d[0]).encode()) % 10 for w in low(d[1]))
+    total, kinds = sum(count.values()), len(count)
+    for d in docs:
+        r, w = got[d[0]], low(d[1])
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in count for x in w), total, zlib.crc32(str(d[0]).encode()) % 10 == 0)
+        assert abs(r.base_score - sum(math.log10((count[x] + 0.1) / (total + 0.1 * (kinds + 1))) for x in w)) < 1e-6
+        assert r.score < 0
+    assert suffix_tree.score_texts(odd).count() == odd.count()
+    assert suffix_tree.score_texts(empty).count() == 0
+
+
+def test_tree_is_a_distribution(stored):
+    counts = stored([("abab", 30), ("abba", 20), ("ba", 9), ("c", 1)], "word string, c long")
+    numbers = suffix_tree.alphabet(counts)
+    root, levels = suffix_tree.frequent_contexts(suffix_tree.context_counts(counts, numbers), 1e-4)
+    kept = suffix_tree.states(root, levels, 0.1)
+    tree = suffix_tree.SuffixTree(numbers, root, kept)
+    assert any(len(k[0]) for k in kept)
+    for context in (0, 2, 2 << 7 | 3, 99):
+        assert abs(sum(10 ** tree.symbol(context, a) for a in range(len(numbers) + 2)) - 1) < 1e-9
+    assert tree.word("abab") > tree.word("aabb")
+
+
+# --- secrets ---------------------------------------------------------------------------------------------------------
+
+
+def test_secrets(stored, odd, empty):
+    r = random.Random(8)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(39)) + "7"
+    docs, planted = [], {}
+    for i in range(200):
+        w = words(i, 30)
+        if i % 10 == 0:
+            planted[i] = key()
+            w[7] = f'token = "{planted[i]}"'
+        w[20] = f"{r.randrange(10**15, 10**16)}"
+        docs.append(doc(i, "é " + " ".join(w)))
+    docs.append(doc(500, f'token = "{key()}" and again secret: {key()} end'))
+    table = stored(docs, DOCS)
+    got = secrets.scan_secrets(table).toPandas()
+    assert {r.doc_id: r.candidate for r in got[got["is_secret"] & (got["doc_id"] < 500)].itertuples()} == planted
+    text = {d[0]: d[1] for d in docs}
+    assert all(text[r.doc_id][r.start : r.start + len(r.candidate)] == r.candidate for r in got.itertuples())
+    clean = {r.doc_id: r for r in secrets.redact_secrets(table).collect()}
+    assert len(clean) == len(docs)
+    for i, t in text.items():
+        want = t.replace(planted[i], "[SECRET]") if i in planted else t if i < 500 else clean[i].text
+        assert clean[i].text == want and clean[i].n_chars == len(want)
+    assert clean[500].text == 'token = "[SECRET]" and again secret: [SECRET] end'
+    assert secrets.redact_secrets(odd).count() == odd.count() and secrets.scan_secrets(empty).count() == 0
+
+
+# --- WARC ------------------------------------------------------------------------------------------------------------
+
+
+def test_warc(spark, stored, tmp_path):
+    import base64
+    import hashlib
+
+    tricky = "<p>WARC/1.1\r\nContent-Length: 3\r\n\r\n\r\n\r\nWARC/1.1\r\n</p>é"
+    rows = [(5, "http://a/\r\nx", tricky), (3, None, tricky), (9, "u", None), (8, "u", ""), (1, "u", "solo"), (None, "u", "twin"), (20, "u", "twin")] + [(100 + i, "h", "hot page") for i in range(60)]
+    pages = stored(rows, "page_id long, url string, html string, payload_bytes string")
+    got = {r.page_id: r for r in warc.archive_pages(pages).collect()}
+    assert len(got) == len(rows)
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    for i, _, h in rows:
+        body, of = (h or "").encode(), first[h or ""]
+        want = (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if i == of else "revisit", None if i == of else of)
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == want
+    warc.write_archives(pages, str(tmp_path / "w"), min_bytes=10**6)
+    captures = warc.assemble(warc.read_archives(spark, str(tmp_path / "w"))).collect()
+    assert Counter(c.response.payload for c in captures) == Counter(h or "" for _, _, h in rows)
+    assert all(c.request and c.metadata for c in captures)
+    assert warc.archive_pages(stored([], "page_id long, url string, html string", 1)).count() == 0
+
+
+# --- n-gram join -----------------------------------------------------------------------------------------------------
+
+
+def brute_groups(docs):
+    sets = []
+    for d in docs:
+        w = WORD.findall((d[1] or "").translate(suffix_tree._FOLD))
+        k = min(5, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    root = list(range(len(docs)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(docs):
+        if d[0] is not None:
+            least[find(i)] = min(least.get(find(i), d[0]), d[0])
+    return {d[0]: (len(sets[i]), least[find(i)]) for i, d in enumerate(docs) if d[0] is not None}
+
+
+@pytest.mark.parametrize("wide", [100, 0])
+def test_jaccard_groups(stored, monkeypatch, wide):
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
+    r = random.Random(6)
+    docs, base = [], words(77, 120)
+    for i in range(60):  # a group of near copies whose members differ by up to a few words
+        w = list(base)
+        for _ in range(i % 4):
+            w[r.randrange(120)] = f"e{i}{r.random()}"
+        docs.append(doc(i * 3 + 1, " ".join(w)))
+    passage = words(99, 55)
+    for i in range(60):
+        docs.append(doc(1000 + i, " ".join(words(i, 40) + passage + words(i + 500, 30))))
+    docs += [doc(2000 + i, "Exact COPY of a text " * 3) for i in range(20)] + [doc(3000, "exact copy of A text " * 3), doc(3001, "too short"), doc(3002, "TOO  short"), doc(3003, "too"), doc(3004, None), doc(3005, ""), doc(None, "too short")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(stored(docs, DOCS)).collect() if r.doc_id is not None}
+    assert got == brute_groups(docs)
+
+
+def test_join_odd(odd, empty):
+    got = ngram_join.jaccard_groups(odd).collect()
+    assert len(got) == odd.count() and ngram_join.jaccard_groups(empty).count() == 0
+    kept = ngram_join.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 7, 9]
+
+
+def test_components(spark, stored):
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(100)] + [(500, 500 + i) for i in range(1, 80)] + [(r.randrange(700, 900), r.randrange(700, 900)) for _ in range(120)] + [(5, 5)]
+    got = {x.node: x.root for x in components.smallest_reachable(stored(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(101)) and all(got[500 + i] == 500 for i in range(80))
+    for a, b in edges:
+        assert a == b or got[a] == got[b] <= min(a, b)
+
+
+# --- pipeline --------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.count()
+        stage(spark, docs, source).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert docs.columns == columns
+        if k < 3:
+            assert docs.count() <= before
+        if k == 1:
+            left = ngram_join.jaccard_groups(docs).filter("n_shingles > 0")
+            assert left.filter("doc_id <> component_id").count() == 0
+    assert docs.select(F.sum("length")).first()[0] > 0

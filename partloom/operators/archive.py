@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.columns import plain_key
 
 #: Fixed values of the matching rules.
@@ -222,13 +223,13 @@ def review_clusters(judged: DataFrame, rounds: int = 100) -> DataFrame:
     Smallest-label propagation with pointer jumping; every round is written to the checkpoint folder.
     """
     calm = judged.filter("strength <> 'conflict'").select("a", "b")
-    edges = calm.union(calm.select("b", "a")).toDF("x", "y").distinct().checkpoint()
+    edges = cut(calm.union(calm.select("b", "a")).toDF("x", "y").distinct())
     labels = edges.select("x").distinct().withColumn("label", F.col("x"))
     for _ in range(rounds):
         near = edges.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near, "x").select("x", F.least("label", "near").alias("next"), "label")
         jump = labels.select(F.col("x").alias("next"), F.col("label").alias("far"))
-        moved = step.join(jump, "next", "left").select("x", F.least("next", F.coalesce("far", "next")).alias("new"), "label").checkpoint()
+        moved = cut(step.join(jump, "next", "left").select("x", F.least("next", F.coalesce("far", "next")).alias("new"), "label"))
         labels = moved.select("x", F.col("new").alias("label"))
         if moved.filter("new <> label").isEmpty():
             break
@@ -257,7 +258,7 @@ def enroll(current: DataFrame, memberships: DataFrame) -> DataFrame:
     Numbers run along range partitions: each is numbered inside, then shifted by the rows before it.
     """
     first = memberships.agg(F.coalesce(F.max("product_id"), F.lit(0))).first()[0]
-    new = current.select("identity").distinct().join(memberships, "identity", "left_anti").repartitionByRange("identity").withColumn("part", F.spark_partition_id()).checkpoint()
+    new = cut(current.select("identity").distinct().join(memberships, "identity", "left_anti").repartitionByRange("identity").withColumn("part", F.spark_partition_id()))
     sizes = new.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
     rank = F.row_number().over(Window.partitionBy("part").orderBy("identity"))
@@ -288,10 +289,10 @@ def product_status_counts(memberships: DataFrame) -> DataFrame:
 
 def resolve_merged(products: DataFrame, rounds: int = 64) -> DataFrame:
     """(product_id, merged_into) to the survivor, by pointer jumping: twice as far each round."""
-    now = products.select("product_id", F.coalesce("merged_into", "product_id").alias("survivor")).checkpoint()
+    now = cut(products.select("product_id", F.coalesce("merged_into", "product_id").alias("survivor")))
     for _ in range(rounds):
         hop = now.select(F.col("product_id").alias("survivor"), F.col("survivor").alias("next"))
-        moved = now.join(hop, "survivor", "left").select("product_id", F.coalesce("next", "survivor").alias("next"), "survivor").checkpoint()
+        moved = cut(now.join(hop, "survivor", "left").select("product_id", F.coalesce("next", "survivor").alias("next"), "survivor"))
         now = moved.select("product_id", F.col("next").alias("survivor"))
         if moved.filter("next <> survivor").isEmpty():
             break

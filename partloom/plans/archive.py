@@ -11,7 +11,6 @@ from .catalog import register
 
 CURRENT = "SELECT * FROM records QUALIFY version = max(version) OVER (PARTITION BY identity)"
 DIMS = "CASE WHEN {0}dim_a IS NOT NULL THEN list_sort([{0}dim_a, {0}dim_b, {0}dim_c]) END"
-KEY = lambda t: f"concat_ws('', lower(replace({t}, '-', '')))"
 FLAT = "replace(replace(lower({0}), ' ', ''), '-', '')"
 
 
@@ -38,9 +37,9 @@ ROWS = "SELECT record_id AS locator, supplier_id AS file_id, CASE WHEN part_id %
 
 @register(
     "g7_identify_rows",
-    f"""SELECT *, CASE WHEN duplicate THEN '#' || substr(content_hash, 1, 32) ELSE k END AS record_key, CASE WHEN duplicate OR kind IS NULL THEN 'content' ELSE kind END AS key_kind FROM (
+    f"""SELECT locator, file_id, record_ref, sku, content_hash, duplicate, CASE WHEN duplicate THEN '#' || substr(content_hash, 1, 32) ELSE k END AS record_key, CASE WHEN duplicate OR kind IS NULL THEN 'content' ELSE kind END AS key_kind FROM (
   SELECT *, kind IS NOT NULL AND row_number() OVER (PARTITION BY file_id, k ORDER BY locator) > 1 AS duplicate FROM (
-    SELECT *, CASE WHEN record_ref <> '' THEN record_ref WHEN sku <> '' THEN sku ELSE '#' || substr(content_hash, 1, 32) END AS k, CASE WHEN record_ref <> '' THEN 'source_id' WHEN sku <> '' THEN 'supplier_sku' END AS kind FROM ({ROWS})))""".replace("SELECT *, CASE WHEN duplicate", "SELECT locator, file_id, record_ref, sku, content_hash, duplicate, CASE WHEN duplicate", 1),
+    SELECT *, CASE WHEN record_ref <> '' THEN record_ref WHEN sku <> '' THEN sku ELSE '#' || substr(content_hash, 1, 32) END AS k, CASE WHEN record_ref <> '' THEN 'source_id' WHEN sku <> '' THEN 'supplier_sku' END AS kind FROM ({ROWS})))""",
     "records",
 )
 def identify(c: Catalog) -> DataFrame:

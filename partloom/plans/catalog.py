@@ -311,12 +311,9 @@ def number_norm(c: Catalog) -> DataFrame:
     return c.numbers.select("part_id", "kind", "number", C.number_norm(F.col("number")).alias("number_norm"))
 
 
-CELL = "CASE part_id % 3 WHEN 0 THEN number || ', ' || number_norm || ';X' || number_norm WHEN 1 THEN number_norm || '/' || number_norm || '9' ELSE 'WK ' || part_id::VARCHAR || '/7' END"
-
-
 @register(
     "c2_split_numbers",
-    """SELECT part_id, CASE part_id % 3 WHEN 0 THEN h || '|X' || number_norm WHEN 1 THEN number_norm || '|' || number_norm || '9' ELSE CASE WHEN length('WK' || part_id::VARCHAR) >= 5 AND FALSE THEN '' ELSE 'WK ' || part_id::VARCHAR || '/7' END END AS numbers
+    """SELECT part_id, CASE part_id % 3 WHEN 0 THEN h || '|X' || number_norm WHEN 1 THEN number_norm || '|' || number_norm || '9' ELSE 'WK ' || part_id::VARCHAR || '/7' END AS numbers
   FROM (SELECT *, translate(number, '０１２３４５６７８９', '0123456789') AS h FROM numbers WHERE kind = 'OE')""",
     "numbers",
 )

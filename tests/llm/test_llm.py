@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def test_bucket_prunes_without_loss():
 def test_mixing(spark, stored, odd, empty):
     r = random.Random(5)
     docs = [doc(i, " ".join(words(i, r.randrange(1, 60))), f"s{r.choice([0] * 6 + [1, 2, 3, 4])}") for i in range(900)] + [doc(1000, None, None)]
-    got = mixing.mix_sources(stored(docs, DOCS)).toPandas().merge(__import__("pandas").DataFrame([(d[0], d[3]) for d in docs], columns=["doc_id", "source"]), on="doc_id")
+    got = mixing.mix_sources(stored(docs, DOCS)).toPandas().merge(pd.DataFrame([(d[0], d[3]) for d in docs], columns=["doc_id", "source"]), on="doc_id")
     assert (got["taken"] <= 2 * got["size"]).all() and len(got) == 901
     assert abs(got.groupby("source_size")["target"].max().sum() - 1.5 * got["size"].sum()) < 1e-6
     for _, g in got.groupby("source", dropna=False):
@@ -218,7 +219,7 @@ def test_toxicity(stored, odd, empty, no_labels):
     held = got[got["held_out"]]
     assert (held["predicted"] == (held["doc_id"] % 6 == 0)).mean() > 0.95
     swapped = toxicity.score_toxicity(stored([(*d[:2], "xx", *d[3:]) for d in docs], DOCS), labels).toPandas()
-    assert np.allclose(got.sort_values("doc_id")["score"], swapped.sort_values("doc_id")["score"])
+    assert np.allclose(got.sort_values("doc_id")["score"].to_numpy(), swapped.sort_values("doc_id")["score"].to_numpy())
     other = toxicity.score_toxicity(odd, labels).toPandas()
     assert len(other) == odd.count() and other["score"].between(0, 1).all()
     assert toxicity.score_toxicity(empty, no_labels).count() == 0
@@ -292,7 +293,7 @@ def test_warc(spark, stored, tmp_path):
 
     tricky = "<p>WARC/1.1\r\nContent-Length: 3\r\n\r\n\r\n\r\nWARC/1.1\r\n</p>é"
     rows = [(5, "http://a/\r\nx", tricky), (3, None, tricky), (9, "u", None), (8, "u", ""), (1, "u", "solo"), (None, "u", "twin"), (20, "u", "twin")] + [(100 + i, "h", "hot page") for i in range(60)]
-    pages = stored(rows, "page_id long, url string, html string, payload_bytes string")
+    pages = stored([(*r, "clash") for r in rows], "page_id long, url string, html string, payload_bytes string")
     got = {r.page_id: r for r in warc.archive_pages(pages).collect()}
     assert len(got) == len(rows)
     first = {}

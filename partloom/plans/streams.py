@@ -23,7 +23,7 @@ def _folder(c: Catalog) -> str:
 
 
 def _events(c: Catalog) -> DataFrame:
-    path = f"{c.dir}/events.parquet"
+    path = f"{c.dir}/event[s].parquet"  # a pattern: the source takes a plain path for a folder
     raw = F.regexp_extract("props", r"(\d+)", 1)
     return c.spark.readStream.schema(c.read("events").schema).parquet(path).select(
         F.col("event_id").alias("inquiry_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"), raw.alias("raw"), C.query_key(raw).alias("query_key"), (F.col("event_type") != "view").alias("is_text"),

@@ -255,6 +255,32 @@ def test_tree_is_a_distribution(stored):
     assert tree.word("abab") > tree.word("aabb")
 
 
+def test_spelling_by_buckets_is_the_tree(stored, monkeypatch):
+    r = random.Random(5)
+    made = Counter("".join(r.choice("abcdé") for _ in range(r.randrange(1, 14))) for _ in range(600))
+    monkeypatch.setattr(suffix_tree, "BUCKET", 500)
+    monkeypatch.setattr(suffix_tree, "ALPHABET", 4)
+    counts = stored([(i, w, n * r.randrange(1, 30)) for i, (w, n) in enumerate(made.items())], "w long, word string, c long")
+    numbers = suffix_tree.alphabet(counts)
+    root, levels = suffix_tree.frequent_contexts(suffix_tree.context_counts(counts, numbers), 0.0)
+    tree = suffix_tree.SuffixTree(numbers, root, suffix_tree.states(root, levels, 8.0))
+    got = suffix_tree.spellings(counts, numbers, 8.0).join(counts, "w").collect()
+    assert len(got) == len(made)
+    for row in got:
+        assert abs(row.spelled - tree.word(row.word)) < 1e-9
+
+
+def test_rare_contexts_of_a_large_corpus_are_states(stored):
+    """Twenty words among 2.4 million symbols: their contexts are attested, whatever their share."""
+    held = [i for i in range(100, 300) if zlib.crc32(str(i).encode()) % 10 == 0][0]
+    train = [i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 10]
+    docs = [doc(i, "banana cabana " * 4300) for i in train[:40]] + [doc(i, "qxzqxjk") for i in train[40:50]] + [doc(held, "qxzqxjkq"), doc(-1, None)]
+    got = {r.doc_id: r for r in suffix_tree.score_texts(stored(docs, DOCS)).collect()}
+    assert got[held].held_out
+    # An end, a new word, then 7 symbols that are known by their contexts, 2 that aren't.
+    assert got[held].score > -25
+
+
 # --- secrets ---------------------------------------------------------------------------------------------------------
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +14,9 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-partloom-"))
     return df.checkpoint()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that all executors reach: under spark.checkpoint.dir, a local one only where that is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-partloom-")
+    return f"{root.rstrip('/')}/rounds-{uuid.uuid4().hex}"

@@ -1,14 +1,15 @@
 """Secret scans: candidates by pattern, a random forest against false positives, all in DataFrame functions.
 
-A candidate is a run of at least MIN_LENGTH key-like characters that holds a digit. Documents without one are passed
+A candidate is a run of about MIN_LENGTH key-like characters or more that holds a digit, without a `name=` before it and
+the dots after it, or any value of at least 8 characters assigned to a secret's name. Documents without one are passed
 over by a single pattern; the rest are cut at their candidates, which gives each its place and its neighbours. Features
 of a candidate: its length, transitions between classes of characters, variety, the share of it covered by frequent
 letter pairs (a small dictionary), whether it looks like a path, address or number, and the words beside it. A random
 forest (pyspark.ml) trained on labelled findings then says which candidates are secrets.
 
 Labelled findings are a table (the columns of `findings` and `label`). Where a caller has none, weak_labels() marks the
-certain ones: assigned to a secret's name or of an issuer's fixed form (1), plain numbers, addresses and paths without
-such a neighbour (0). At most max_train labelled findings are used, in the order of a hash.
+certain ones: assigned to a secret's name (with a digit or of MIN_LENGTH) or holding an issuer's fixed form (1), plain
+numbers, addresses and paths without such a neighbour, name or issuer's beginning in themselves (0). At most max_train labelled findings are used, in the order of a hash.
 
 Nulls: a null text has no findings; a null doc_id is kept. Repeated rows give their findings each. Where the labelled
 findings lack a class, the weak labels decide and unmarked candidates count as false. An empty table gives no findings.
@@ -25,11 +26,16 @@ from pyspark.sql import functions as F
 from .common import stash
 
 MIN_LENGTH = 16
-#: Possessive runs: Java doesn't go back into them. The look-ahead asks for a digit.
-CANDIDATE = rf"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/=.@-]*+[0-9])[A-Za-z0-9_+/=.@-]{{{MIN_LENGTH},}}+"
 #: Names that secrets are assigned to, and the forms of well-known issuers' keys.
 NAMES = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
-ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_=-]+\.[A-Za-z0-9_=-]+\..*)$"
+ISSUED = r"(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_=-]+\.[A-Za-z0-9_=-]+\.)"
+ISSUER = r"AKIA|gh[pousr]_|xox[baprs]-|sk_live_|AIza|eyJ"
+#: Possessive runs: Java doesn't go back into them. The look-ahead asks for a digit; an equals sign may only close a run.
+RUN = rf"(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/.@-]*+[0-9])(?=[A-Za-z0-9_+/.@=-]{{{MIN_LENGTH}}})[.@]*+[A-Za-z0-9_+/-]++(?:[.@]++[A-Za-z0-9_+/-]++)*+(?:={{1,2}}(?![A-Za-z0-9_+/=.@\"'-]))?+(?!=)"
+#: What is assigned to a secret's name. The short look-behind passes over most places.
+VALUE = r"[^\s\"'`<>(){}\[\],;&"
+ASSIGNED = rf"(?<=[=:]>?\s{{0,2}}[\"']?)(?<={NAMES}[A-Za-z0-9_-]{{0,20}}[\"']?\s{{0,2}}[:=]{{1,2}}>?\s{{0,2}}[\"']?)(?![A-Za-z]+://){VALUE}=:]{VALUE}]{{6,}}{VALUE}.:!?]"
+CANDIDATE = f"{ASSIGNED}|{RUN}"
 PAIRS = r"(?i)(th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|is|it|al|ar|st|nt|to|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur)"
 FEATURES = ["length", "transitions", "variety", "pair_share", "digit_share", "upper_share", "hex", "numeric", "path", "address", "quoted", "assigned", "named", "issued"]
 
@@ -65,25 +71,27 @@ def with_features(rows: DataFrame) -> DataFrame:
     c, n = F.col("candidate"), F.length("candidate").cast("double")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "\u0002"), "[a-z]", "\u0003"), "[A-Z]", "\u0004"), "[^\u0002-\u0004]", "\u0005")
     runs = F.length(F.regexp_replace(kinds, "(.)\\1*", "x"))
-    beside = F.regexp_extract("before", r"(\S*)[\s\"'=:]*$", 1)
+    beside = F.regexp_extract("before", r"(\S*)[\s\"'=:>]*$", 1)
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     values = {
         "length": n, "transitions": (runs - 1) / n, "variety": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(40.0)),
         "pair_share": 1 - _left(c, PAIRS) / n, "digit_share": 1 - _left(c, "[0-9]") / n, "upper_share": 1 - _left(c, "[A-Z]") / n,
         "hex": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")), "numeric": flag(c.rlike("^[0-9.+/=_-]+$")), "path": flag(c.rlike("/[^/]*/|[.][a-z]{2,4}$")),
-        "address": flag(c.rlike("@")), "quoted": flag(F.col("before").rlike("[\"']$")), "assigned": flag(F.col("before").rlike("[=:]\\s*[\"']?$")),
+        "address": flag(c.rlike("@")), "quoted": flag(F.col("before").rlike("[\"']$")), "assigned": flag(F.col("before").rlike("[=:]>?\\s*[\"']?$")),
         "named": flag(beside.rlike(NAMES)), "issued": flag(c.rlike(ISSUED)),
     }
     return rows.withColumns({k: v.cast("double") for k, v in values.items()})
 
 
 def _sure() -> Column:
-    return (F.col("issued") == 1) | ((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("address") == 0))
+    value = (F.col("digit_share") > 0) | (F.col("length") >= MIN_LENGTH)
+    return (F.col("issued") == 1) | ((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("address") == 0) & value)
 
 
 def weak_labels(rows: DataFrame) -> DataFrame:
     """The rows whose label is beyond doubt, with it: 1 secret, 0 not."""
-    plain = (F.col("named") == 0) & (F.col("issued") == 0) & ((F.col("numeric") == 1) | (F.col("address") == 1) | (F.col("path") == 1) | (F.col("assigned") == 0))
+    marked = F.col("candidate").rlike(NAMES) | F.col("candidate").rlike(ISSUER)
+    plain = (F.col("named") == 0) & (F.col("issued") == 0) & ~marked & ((F.col("numeric") == 1) | (F.col("address") == 1) | (F.col("path") == 1) | (F.col("assigned") == 0))
     return rows.withColumn("label", F.when(_sure(), 1.0).when(plain, 0.0)).filter("label is not null")
 
 

@@ -310,6 +310,24 @@ def test_secrets(stored, odd, empty):
     assert secrets.redact_secrets(odd).count() == odd.count() and secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_beside_names_and_dots(stored):
+    aws, git, hexed = "AKIA" + "Q7X2" * 4, "ghp_" + "a1B2c3D4e5F6" * 3, "24be64f0a1" * 3
+    texts = {
+        1: (f"export AWS_ACCESS_KEY_ID={aws} now", aws), 2: (f"token={hexed} end", hexed), 3: (f"see {git}. Then", git),
+        4: ("password: hunter2horse here", "hunter2horse"), 5: (f"api_key=sk_live_{'x9Y8' * 5}", f"sk_live_{'x9Y8' * 5}"), 6: (f"a?x=1&token={hexed}&y=2", hexed),
+    }
+    docs = [doc(i, t) for i, (t, _) in texts.items()] + [doc(100 + i, f"call {10**15 + i} or see /usr/lib/x{i}/some_file.txt") for i in range(60)] + [doc(90, "passphrase or password: correcthorse maybe")]
+    table = stored(docs, DOCS)
+    got = secrets.scan_secrets(table).toPandas()
+    for i, (text, secret) in texts.items():
+        assert got[(got["doc_id"] == i) & got["is_secret"]]["candidate"].tolist() == [secret], text
+    assert not got[(got["doc_id"] >= 100) & got["is_secret"]].size
+    assert got[got["doc_id"] == 90]["candidate"].tolist() == ["correcthorse"]
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(table).collect()}
+    for i, (text, secret) in texts.items():
+        assert clean[i] == text.replace(secret, "[SECRET]")
+
+
 # --- WARC ------------------------------------------------------------------------------------------------------------
 
 

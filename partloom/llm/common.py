@@ -56,6 +56,11 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row, stored once: numbers made anew by each scan follow the split of the files, which follows the cores."""
+    return stash(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def drop_stash(df: DataFrame) -> None:
     """Deletes what stash() wrote, once nothing reads it any more."""
     spark = df.sparkSession

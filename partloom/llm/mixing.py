@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, stash
+from .common import SPACES, numbered, stash
 
 #: The offset and the order depend on the data and on these only.
 SALTS, OFFSETS, SEED = 256, 65536, "mix"
@@ -93,11 +93,8 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 
 def emit_mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: every row of docs as often as it was drawn, with its own columns.
-
-    docs must be a stored table: rows are matched by their place in it.
-    """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    """The mixture itself: every row of docs as often as it was drawn, with its own columns."""
+    rows = numbered(docs, "__row")
     sizes = stash(rows.select("doc_id", "source", n_words(F.col("text")).alias("size"), "__row"))
     drawn = place(sizes, source_targets(sizes.select("source", "size"), **options)).filter("copies > 0").select("__row", F.col("copies").cast("int").alias("__copies"))
     return rows.join(drawn, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__row", "__copies", "__copy")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stash, stash
+from .common import drop_stash, numbered, stash
 from .components import smallest_reachable
 
 SPAN, BUCKETS, CHUNK, SPLIT, ROUNDS, WIDE, HUBS = 5, 1 << 22, 1 << 14, 256, 4, 2, 3
@@ -213,10 +213,10 @@ def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def grouped_rows(docs: DataFrame, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
-    """row, doc_id, n_shingles and group for every row of docs; row is the place in docs, a stored table."""
+    """row, doc_id, n_shingles and group for every row of docs; row is a stored column of docs, or made and stored here."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    placed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    placed = docs if "row" in docs.columns else numbered(docs.select("doc_id", "text"), "row")
+    placed = placed.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stash(summaries(placed.select("row", "text")))
     sets = found.filter("chunk < 0").select("row", "n", "digest")
     classes = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"))
@@ -268,7 +268,7 @@ def grouped_rows(docs: DataFrame, percent: int = 80, rounds: int = ROUNDS) -> Da
 
 def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id of the row's group, for every row of docs."""
-    rows = grouped_rows(docs, **options)
+    rows = grouped_rows(docs.select("doc_id", "text"), **options)
     least = rows.filter("`group` is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     alone = F.col("group").isNull() | F.col("doc_id").isNull()
     return rows.join(least, "group", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -276,7 +276,8 @@ def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay: of each group the one with the smallest id (the first of its rows); rows without words all stay."""
-    rows = grouped_rows(docs, **options)
+    placed = numbered(docs, "__row")
+    rows = grouped_rows(placed.select(F.col("__row").alias("row"), "doc_id", "text"), **options)
     first = rows.filter("`group` is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
     stay = first.select(F.col("first.row").alias("__row")).unionByName(rows.filter("`group` is null").select(F.col("row").alias("__row")))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(stay, "__row", "left_semi").select(*docs.columns)
+    return placed.join(stay, "__row", "left_semi").select(*docs.columns)

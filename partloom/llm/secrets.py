@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import numbered, stash
 
 MIN_LENGTH = 16
 #: Names that secrets are assigned to, and the forms of well-known issuers' keys.
@@ -118,11 +118,8 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, cut: float
 
 
 def redact_secrets(docs: DataFrame, placeholder: str = "[SECRET]", **options) -> DataFrame:
-    """docs with every secret in `text` replaced; other columns and rows stay, n_chars follows the text where present.
-
-    docs must be a stored table: findings return to their row by its place in it.
-    """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    """docs with every secret in `text` replaced; other columns and rows stay, n_chars follows the text where present."""
+    rows = numbered(docs, "__row")
     hits = scan_secrets(rows.select(F.col("__row").alias("doc_id"), "text"), **options).filter("is_secret")
     spans = hits.groupBy(F.col("doc_id").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", F.length("candidate").alias("size")))).alias("__spans"))
     step = lambda a, s: F.struct(

@@ -328,6 +328,17 @@ def test_secrets_beside_names_and_dots(stored):
         assert clean[i] == text.replace(secret, "[SECRET]")
 
 
+def test_rows_keep_their_numbers_when_scans_differ(stored):
+    """Every scan gives the rows in another order, as when files are split anew: each row must still get its own result."""
+    docs = [doc(i, f"mark{i} token=" + f"{i:04d}ab34" * 3 + " " + " ".join(words(i, 40))) for i in range(60)]
+    docs += [doc(100 + i, docs[i][1] + " more") for i in range(20)]
+    shuffle = F.udf(random.random, "double").asNondeterministic()
+    table = stored(docs, DOCS).withColumn("__o", shuffle()).orderBy("__o").drop("__o")
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(table).collect()}
+    assert clean == {d[0]: d[1].replace(f"{d[0] % 100:04d}ab34" * 3, "[SECRET]") for d in docs}
+    assert sorted(r.doc_id for r in ngram_join.keep_one(table).collect()) == list(range(60))
+
+
 # --- WARC ------------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
@@ -10,7 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Functions sent to executors carry their code, so that executors need no copy of this repository.
+# Functions sent to executors carry their code, so that executors need no copy of this repository. Broadcasts are pickled
+# plainly; share() gives them the same treatment.
 cloudpickle.register_pickle_by_value(partloom)
 
 #: A word is a run of characters other than the six ASCII white-space characters (Java, Python and RE2 syntax).
@@ -37,6 +39,15 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1).cast("long"))
 
 
+def share(spark: SparkSession, value: object):
+    """Broadcasts value with the code of its classes; received() gives it to a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared) -> object:
+    return pickle.loads(shared.value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that every executor can reach: under spark.checkpoint.dir, or a local one where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -5,8 +5,9 @@ neighbours' index vectors over the labelled sample (random indexing). A document
 a few pooled figures. Tokens are letter runs, other runs, and the shape of each letter run. A network with one hidden
 layer is trained in numpy and its probabilities are calibrated by one temperature on rows kept out of the training.
 
-The fit takes at most max_train labelled rows (chosen by a hash of the id, whole texts) on the driver; the model has a
-fixed size. Scoring runs over all documents in partitions, with no shuffle.
+The fit takes at most max_train labelled rows (chosen by a hash of the id, whole texts). Their contexts are summed and
+their documents pooled on the executors; the driver holds the vectors' table, of a fixed size, and a row of figures for
+each labelled document. Scoring runs over all documents in partitions, with no shuffle.
 
 Nulls: a null text counts as empty and gets the network's score for a document without tokens; null labels and labels
 without a document are not used; of repeated labels of an id the larger counts. Without two classes to learn from,
@@ -24,21 +25,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import id_remainder, received, share, stash
 
 SLOTS, DIM, NONZERO, WINDOW, HIDDEN = 1 << 16, 48, 4, 2, 32
+CHUNK, BLOCK = 1 << 12, 1 << 13  # slots in a row of sums; words whose contexts are summed at once
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> tuple[list[str], np.ndarray]:
-    """At most limit labelled texts of the ids for which learn holds. Ids are chosen before any text is read."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> DataFrame:
+    """(doc_id, y, text, lang) of at most limit labelled ids for which learn holds, stored. Ids are chosen before any text is read.
+
+    An id whose document occurs more than once gives one row, that with the least text.
+    """
     ids = (
-        labels.select("doc_id", F.col(label).cast("int").alias("__y")).filter(F.col("__y").isNotNull() & F.col("doc_id").isNotNull() & learn)
-        .groupBy("doc_id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+        labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & learn)
+        .groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "__y", "text").collect()  # ids: at most limit rows
-    rows.sort(key=lambda r: (r[0], r[2] or ""))
-    return [r[2] or "" for r in rows], np.array([r[1] for r in rows], np.float64)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(ids), "doc_id")  # ids: at most limit rows
+    return stash(rows.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("least")).select("doc_id", "y", "least.text", "least.lang"))
 
 
 def _shape(token: str) -> str:
@@ -67,19 +72,49 @@ def index_vectors(seed: int = 7) -> np.ndarray:
     return out
 
 
-def word_vectors(documents: list[np.ndarray]) -> np.ndarray:
-    """Index vectors plus normalized context vectors of the tokens in documents (arrays of Slots.of)."""
-    index = index_vectors()
-    gap = np.full(WINDOW, SLOTS)  # a slot of zeros between documents
-    words = np.concatenate([x for d in documents for x in (d[:, 0], gap)] or [gap])
-    padded = np.vstack([index, np.zeros((1, DIM), np.float32)])
-    near = np.zeros((len(words), DIM), np.float32)
-    for k in range(1, WINDOW + 1):
-        near[k:] += padded[words[:-k]]
-        near[:-k] += padded[words[k:]]
-    context = np.stack([np.bincount(words, near[:, d], SLOTS + 1)[:SLOTS] for d in range(DIM)], 1)
-    norm = np.linalg.norm(context, axis=1, keepdims=True)
-    return (index + 2 * context / np.maximum(norm, 1e-9)).astype(np.float32)
+def context_sums(words: np.ndarray, index: np.ndarray, out: np.ndarray) -> None:
+    """Adds to out, by slot, the index vectors of the WINDOW words on each side of every word of one document."""
+    for at in range(0, len(words), BLOCK):
+        own = words[at : at + BLOCK]
+        near = np.zeros((len(own), DIM), np.int32)
+        for k in range(-WINDOW, WINDOW + 1):
+            low, high = max(0, at + k), min(len(words), at + len(own) + k)
+            if k and low < high:
+                near[low - at - k : high - at - k] += index[words[low:high]]
+        np.add.at(out, own, near)
+
+
+def word_vectors(rows: DataFrame) -> np.ndarray:
+    """Index vectors plus normalized context vectors of the tokens in rows (text).
+
+    Contexts are summed where the texts are, in SLOTS x DIM whole numbers a task; SLOTS / CHUNK rows of sums reach the driver.
+    """
+    whole = index_vectors()
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots, index, sums = Slots(), index_vectors().astype(np.int32), np.zeros((SLOTS, DIM), np.int32)
+        for frame in frames:
+            for text in frame["text"]:
+                context_sums(slots.of(text)[:, 0], index, sums)
+        for k in range(0, SLOTS, CHUNK):
+            if sums[k : k + CHUNK].any():
+                yield pd.DataFrame({"chunk": [k // CHUNK], "sums": [sums[k : k + CHUNK].astype("<i8").tobytes()]})
+
+    def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for chunk, raw in zip(frame["chunk"], frame["sums"]):
+                part = np.frombuffer(raw, "<i8")
+                sums[chunk] = sums[chunk] + part if chunk in sums else part
+        for chunk, values in sums.items():
+            values = values.reshape(-1, DIM)
+            norm = np.linalg.norm(values, axis=1, keepdims=True)
+            yield pd.DataFrame({"chunk": [chunk], "sums": [(2 * values / np.maximum(norm, 1e-9)).astype("<f4").tobytes()]})
+
+    parts = rows.select("text").mapInPandas(add, "chunk int, sums binary").repartition("chunk").mapInPandas(total, "chunk int, sums binary")
+    for r in parts.toLocalIterator():  # SLOTS / CHUNK rows
+        whole[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] += np.frombuffer(r.sums, "<f4").reshape(-1, DIM)
+    return whole
 
 
 def pooled(documents: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
@@ -134,23 +169,35 @@ class Network:
         return sigmoid(self.logit(x) / self.temperature)
 
 
-def fit(texts: list[str], y: np.ndarray):
-    """(word vectors, network), or the share of label 1 where there is one class only."""
-    if len(set(y.tolist())) < 2:
-        return float((y.sum() + 0.5) / (len(y) + 1))
-    slots = Slots()
-    documents = [slots.of(t) for t in texts]
-    vectors = word_vectors(documents)
-    return vectors, Network(pooled(documents, vectors), y)
+def fit(rows: DataFrame):
+    """(word vectors, network) from labelled rows, or the share of label 1 where there is one class only.
+
+    Vectors are summed and documents pooled on the executors; the driver gets 2 * DIM + 4 figures a labelled row.
+    """
+    ones, n = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    if not 0 < ones < n:
+        return float((ones + 0.5) / (n + 1))
+    vectors = word_vectors(rows)
+    shared = share(rows.sparkSession, vectors)
+
+    def pool(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots, own = Slots(), received(shared)
+        for frame in frames:
+            for at in range(0, len(frame), 200):
+                part = frame.iloc[at : at + 200]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": [x.tobytes() for x in pooled([slots.of(t) for t in part["text"]], own)]})
+
+    found = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "y", "text").mapInPandas(pool, "doc_id string, y int, x binary").toPandas().sort_values("doc_id")
+    return vectors, Network(np.stack([np.frombuffer(x) for x in found["x"]]), found["y"].to_numpy(np.float64))
 
 
 def quality_score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_train: int = 5000) -> Column:
     """A column over `text`, from a model fitted on labelled rows outside the held-out fold. Only the text goes to Python."""
     learn = id_remainder(F.col("doc_id"), folds) != held
-    model = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, "quality", learn, max_train)))
+    model = share(docs.sparkSession, fit(labelled_rows(docs, labels, "quality", learn, max_train)))
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        slots, fitted = Slots(), model.value
+        slots, fitted = Slots(), received(model)
         for texts in batches:
             values = np.full(len(texts), fitted if isinstance(fitted, float) else np.nan)
             if not isinstance(fitted, float):
@@ -171,4 +218,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
 
 def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.5, **options) -> DataFrame:
     """The rows of docs that the classifier accepts, with their own columns."""
-    return docs.withColumn("__score", quality_score(docs, labels, **options)).filter(F.col("__score") >= cut).drop("__score")
+    return docs.filter(quality_score(docs, labels, **options) >= cut)

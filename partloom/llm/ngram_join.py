@@ -1,23 +1,26 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a Jaccard similarity of at least 0.8, and their groups.
 
-1. Each document's words give its set of hashed shingles. Documents of equal sets (by a 128-bit digest) form one class;
-   from here on its first row stands for the class as one node, however many copies it has.
+1. Each document's words give its set of hashed shingles. Documents of equal sets (by a 128-bit digest) form one class,
+   which is one node from here on, however many copies it has.
 2. Shingle frequencies of all documents are counted in a table of BUCKETS counters. The counters, then the hash, give
    the one order of shingles, rarest first.
 3. Prefix filter: a class is posted under its first n - ceil(t * n) + 1 shingles, with its size and the place of each.
-   Two similar sets must share a posting.
+   Two similar sets must share a posting. Shingles that the same classes hold give the same pairs: of these only the
+   first in the order keeps its list.
 4. Candidates: postings of one shingle pass the length filter and the positional filter, pairs are made distinct, then
    pass the suffix filter (both sets' counts over SPLIT ranges of the hash bound their overlap).
 5. Each remaining pair is verified once, on both whole texts.
 
-Only groups are asked for, so pairs inside a group that is already one need no check. While the postings of the shingles
-would make more than WIDE pairs each, rounds pair every posting with HUBS hubs of its shingle only (linear in the
-postings), verify, and unite; the last step pairs all postings of a shingle that still lie in different groups. That
-misses no link between groups: a pair left out lies inside one group, and no pair is verified twice.
+Only groups are asked for, so pairs inside a group that is already one need no check. The first turn pairs every posting
+with HUBS hubs of its shingle (linear in the postings), verifies, and unites. The second turn pairs the holders of a
+shingle that still lie in different groups: those outside the group of its first hub with all others. Each such pair
+comes from its longest common list only (exactly so among each class's EARLIER longest lists; beyond, a pair may come up
+again and is made distinct). That misses no link between groups: a pair left out lies inside one group.
 
 Nulls and texts without words have an empty set, link with nothing and are components of their own (null ids keep a null
-component). Fewer words than the shingle length give one shingle, the whole sequence. Rows that repeat an id are nodes
-by their sets as all others. An empty table gives an empty table.
+component). Fewer words than the shingle length give one shingle, the whole sequence. Rows that repeat an id are members
+of their classes as all others. Documents are told apart by digest and id, never by the place of a row in a scan. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stash, numbered, stash
 from .components import smallest_reachable
 
-SPAN, BUCKETS, CHUNK, SPLIT, ROUNDS, WIDE, HUBS = 5, 1 << 22, 1 << 14, 256, 4, 2, 3
-REPRESENTATIVES = 4_000_000  # so many row numbers are sent to the executors at most; beyond, rows are joined
+SPAN, BUCKETS, CHUNK, SPLIT, HUBS, EARLIER = 5, 1 << 22, 1 << 14, 256, 3, 64
+HOT = 1000  # a class of at least one in HOT rows is sent to the rows' tasks: at most HOT classes (2 * HOT rows or fewer: all that repeat)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -90,8 +93,12 @@ def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def summaries(rows: DataFrame) -> DataFrame:
-    """For each row (row, text): n and the digest of its set. Further rows carry counters: chunk and counts."""
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def summaries(docs: DataFrame) -> DataFrame:
+    """For each row (doc_id, text): n and the digest of its set. Further rows carry counters: chunk and counts."""
 
     def summarize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, counts = Shingles(), np.zeros(BUCKETS, np.int32)
@@ -101,21 +108,19 @@ def summaries(rows: DataFrame) -> DataFrame:
                 grams = np.concatenate([*sets[at : at + 500], np.zeros(0, np.uint64)])
                 spots, n = np.unique((grams & np.uint64(BUCKETS - 1)).astype(np.int64), return_counts=True)
                 counts[spots] += n.astype(np.int32)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pd.DataFrame({"row": frame["row"], "n": [len(s) for s in sets], "digest": digests, "chunk": -1, "counts": None})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "digest": [_digest(s) for s in sets], "chunk": -1, "counts": None})
         for at in range(0, BUCKETS, CHUNK):
             part = counts[at : at + CHUNK]
             if part.any():
-                yield pd.DataFrame({"row": [-1], "n": [0], "digest": [None], "chunk": [at // CHUNK], "counts": [part.astype("<u4").tobytes()]})
+                yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "digest": [None], "chunk": [at // CHUNK], "counts": [part.astype("<u4").tobytes()]})
 
-    return rows.mapInPandas(summarize, "row long, n int, digest binary, chunk int, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(summarize, "doc_id long, n int, digest binary, chunk int, counts binary")
 
 
 def counters(rows: DataFrame) -> np.ndarray:
     """Rank of each counter's total, a byte each (16 steps for each doubling): BUCKETS bytes, whatever the input."""
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, chunk = np.zeros(CHUNK, np.int64), 0
         sums: dict[int, np.ndarray] = {}
         for frame in frames:
             for chunk, raw in zip(frame["chunk"], frame["counts"]):
@@ -132,62 +137,114 @@ def counters(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(rows: DataFrame, ranks, chosen, percent: int) -> DataFrame:
-    """(gram, node, n, place) for the prefix of the set of every row (row, text); of the rows in chosen only, if given."""
+def prefixes(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
+    """(digest, n, prefix) of the set of every row with words; of equal sets met in one task only the first."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, rank = Shingles(), ranks.value
-        out: list[tuple[np.ndarray, ...]] = []
-        held = 0
+        shingles, rank = Shingles(), shared.value
+        seen: set[bytes] = set()
         for frame in frames:
-            numbers = frame["row"].to_numpy(np.int64)
-            if chosen is not None:
-                keep = chosen.value[np.minimum(np.searchsorted(chosen.value, numbers), len(chosen.value) - 1)] == numbers
-                frame, numbers = frame[keep], numbers[keep]
-            for row, text in zip(numbers.tolist(), frame["text"]):
-                s = shingles.of(text)
-                if not len(s):
-                    continue
-                size = prefix_length(len(s), percent)
-                order = np.argsort(rank[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")[:size]
-                out.append((s[order].view(np.int64), np.full(size, row), np.full(size, len(s)), np.arange(size)))
-                held += size
-                if held > 200_000:
-                    yield pd.DataFrame(dict(zip(("gram", "node", "n", "place"), map(np.concatenate, zip(*out)))))
-                    out, held = [], 0
-        if out:
-            yield pd.DataFrame(dict(zip(("gram", "node", "n", "place"), map(np.concatenate, zip(*out)))))
-
-    return rows.select("row", "text").mapInPandas(post, "gram long, node long, n int, place int")
-
-
-def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (x, y) with x < y of pairs with sizes x_n, y_n and places x_at, y_at that pass both filters."""
+            for at in range(0, len(frame), 500):
+                out = []
+                for text in frame["text"].iloc[at : at + 500]:
+                    s = shingles.of(text)
+                    digest = _digest(s)
+                    if len(s) and digest not in seen:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen.add(digest)
+                        order = np.argsort(rank[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")[: prefix_length(len(s), percent)]
+                        out.append((digest, len(s), s[order].view(np.int64)))
+                if out:
+                    yield pd.DataFrame(out, columns=["digest", "n", "prefix"])
+
+    return docs.select("text").mapInPandas(post, "digest binary, n int, prefix array<long>")
+
+
+def shared_lists(posted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(gram, node, n, place, holders): postings of shingles that two classes or more hold, one list for each set of holders."""
+    first = posted.join(classes.select("node"), posted["uid"] == classes["node"], "left_semi")
+    each = first.select(F.col("uid").alias("node"), "n", F.posexplode("prefix").alias("place", "gram"))
+    several = each.groupBy("gram").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    lists = stash(each.join(several, "gram"))
+    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))  # noqa: E731  sums of 32 bits stay whole up to 2 ** 31 holders
+    h = F.xxhash64("node")
+    sets = lists.groupBy("gram", "holders").agg(F.sum(low(h)).alias("s1"), F.sum(low(F.shiftrightunsigned(h, 32))).alias("s2"), F.sum(low(F.hash("node").cast("long"))).alias("s3"), F.min("place").alias("at"))
+    chosen = sets.groupBy("holders", "s1", "s2", "s3").agg(F.min_by("gram", "at").alias("gram"))  # places follow one order: the first shingle's are the least
+    out = stash(lists.join(chosen.select("gram"), "gram"))
+    drop_stash(lists)
+    return out
+
+
+def _possible(percent: int):
+    """The length filter and the positional filter on sizes x_n, y_n and places x_at, y_at."""
     least = F.ceil(percent * (F.col("x_n") + F.col("y_n")) / (100.0 + percent) - 1e-9)
-    length = (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+    length = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
     # The shared shingle at these places may be any common one, so those before it count as well.
-    place = F.least("x_at", "y_at") + 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) - 1 >= least
-    return pairs.filter("x <> y").filter(length & place).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return length & (F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= least)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that are similar. texts: (node, text), one row for each node that occurs in pairs.
+def _sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    names = {"node": "", "n": "_n", "place": "_at", **{m: f"_{m}" for m in more}}
+    return tuple(rows.select("gram", *(F.col(k).alias(side + v) for k, v in names.items())) for side in ("x", "y"))
 
-    The suffix filter comes first, on counts over SPLIT ranges of the hash, so whole texts travel for few pairs only.
-    """
 
-    def ranges(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shingles = Shingles()
-        for batch in batches:
-            yield pd.Series([np.bincount((shingles.of(t) >> np.uint64(56)).astype(np.int64), minlength=SPLIT).astype("<u4").tobytes() for t in batch])
+def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct (x, y): every posting with the HUBS first holders of its shingle, in the orders of as many hashes."""
+    x, y = _sides(lists)
+    hub = F.struct("y", "y_n", "y_at")
+    hubs = y.groupBy("gram").agg(F.array_distinct(F.array(*(F.min_by(hub, F.struct(F.xxhash64("y", F.lit(h)), F.col("y"))) for h in range(HUBS)))).alias("hubs"))
+    pairs = x.join(hubs, "gram").select("gram", "x", "x_n", "x_at", F.inline("hubs")).filter("x <> y").filter(_possible(percent))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Distinct (x, y) of holders of one shingle that lie in different groups."""
+    own = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = own.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", F.xxhash64("node", F.lit(0))).alias("main")).filter("low <> high").select("gram", "main")
+    by_size = Window.partitionBy("node").orderBy(F.desc("holders"), "gram")  # a node has as many lists as shingles in its prefix at most
+    placed = own.join(several, "gram").withColumn("seq", F.row_number().over(by_size))
+    before = F.collect_list(F.when(F.col("seq") <= EARLIER, F.col("gram"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    rows = stash(placed.withColumn("before", before).drop("seq"))
+    x, y = _sides(rows, "label", "main", "before")
+    once = (F.col("y_label") == F.col("y_main")) | (F.col("x") < F.col("y"))
+    met = x.filter("x_label <> x_main").join(y, "gram").filter(F.col("x_label") != F.col("y_label")).filter(once & _possible(percent)).filter(~F.arrays_overlap("x_before", "y_before"))
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def texts_of(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """(node, text, counts) of the classes that have a list: a text, and its set's counts over SPLIT ranges, up to 255."""
+
+    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, seen = Shingles(), set()
+        for frame in frames:
+            out = []
+            for text in frame["text"]:
+                s = shingles.of(text)
+                digest = _digest(s)
+                if len(s) and digest not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(digest)
+                    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=SPLIT)
+                    out.append((digest, text, np.minimum(counts, 255).astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["digest", "text", "counts"])
+
+    wanted = classes.join(lists.select("node").distinct(), "node", "left_semi")
+    found = docs.select("text").mapInPandas(digests, "digest binary, text string, counts binary").join(wanted, "digest")
+    return stash(found.groupBy("node").agg(F.min(F.struct("text", "counts")).alias("least")).select("node", "least.text", "least.counts"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that are similar. texts: (node, text, counts). Counts go first, so whole texts travel for few pairs."""
 
     def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            keep = []
-            for p, q in zip(a, b):
-                p, q = np.frombuffer(p, "<u4").astype(np.int64), np.frombuffer(q, "<u4").astype(np.int64)
-                keep.append(int(np.minimum(p, q).sum()) >= least_overlap(int(p.sum()), int(q.sum()), percent))
-            yield pd.Series(keep)
+            p, q = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, SPLIT).astype(np.int64) for c in (a, b))
+            full = (p == 255).any(1) | (q == 255).any(1)  # such sets may be larger than the counts say
+            both = p.sum(1) + q.sum(1)
+            yield pd.Series(full | (np.minimum(p, q).sum(1) >= -(-percent * both // (100 + percent))))
 
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         shingles = Shingles()
@@ -199,85 +256,78 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 out.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pd.Series(out)
 
-    counted = stash(texts.select("node", F.pandas_udf(ranges, "binary")("text").alias("counts")))
-    x, y = counted.select(F.col("node").alias("x"), F.col("counts").alias("x_counts")), counted.select(F.col("node").alias("y"), F.col("counts").alias("y_counts"))
-    close = stash(pairs.join(x, "x").join(y, "y").filter(F.pandas_udf(near, "boolean")("x_counts", "y_counts")).select("x", "y"))
-    x, y = texts.select(F.col("node").alias("x"), F.col("text").alias("x_text")), texts.select(F.col("node").alias("y"), F.col("text").alias("y_text"))
-    return close.join(x, "x").join(y, "y").filter(F.pandas_udf(similar, "boolean")("x_text", "y_text")).select("x", "y")
-
-
-def _texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the pairs' nodes; a node is the row that stands for its class."""
-    nodes = pairs.select(F.col("x").alias("row")).union(pairs.select(F.col("y").alias("row"))).distinct()
-    return stash(rows.join(nodes, "row", "left_semi").select(F.col("row").alias("node"), "text"))
-
-
-def grouped_rows(docs: DataFrame, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
-    """row, doc_id, n_shingles and group for every row of docs; row is a stored column of docs, or made and stored here."""
-    spark = docs.sparkSession
-    placed = docs if "row" in docs.columns else numbered(docs.select("doc_id", "text"), "row")
-    placed = placed.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stash(summaries(placed.select("row", "text")))
-    sets = found.filter("chunk < 0").select("row", "n", "digest")
-    classes = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"))
-    members = stash(sets.join(classes, "digest", "left").select("row", "n", "node"))
-    ranks = spark.sparkContext.broadcast(counters(found))
-    nodes = members.filter("row = node").select("row")
-    if nodes.count() <= REPRESENTATIVES:
-        chosen = spark.sparkContext.broadcast(np.sort(np.array([r.row for r in nodes.collect()] or [-1], np.int64)))
-        posted = stash(postings(placed, ranks, chosen, percent))
-    else:
-        posted = stash(postings(placed.join(nodes, "row", "left_semi"), ranks, None, percent))
-    shared = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("gram")
-    lists = stash(posted.join(shared, "gram"))
+    side = lambda s, c: texts.select(F.col("node").alias(s), F.col(c).alias(f"{s}_{c}"))
+    close = stash(pairs.join(side("x", "counts"), "x").join(side("y", "counts"), "y").filter(F.pandas_udf(near, "boolean")("x_counts", "y_counts")).select("x", "y"))
+    return close.join(side("x", "text"), "x").join(side("y", "text"), "y").filter(F.pandas_udf(similar, "boolean")("x_text", "y_text")).select("x", "y")
+
+
+def linked_classes(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(digest, label) of the classes that similarity joins with others; the label names the group."""
+    posted = numbered(prefixes(docs, counters(found), percent), "uid")
+    classes = stash(posted.groupBy("digest").agg(F.min("uid").alias("node")))
+    lists = shared_lists(posted, classes)
     drop_stash(posted)
+    texts = texts_of(docs, classes, lists)
+    turns = stash(verified(hub_pairs(lists, percent), texts, percent))
+    labels = smallest_reachable(turns.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("root", "label")
+    rest = stash(verified(open_pairs(lists, labels, percent), texts, percent))
+    of = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"{s}_label"))
+    between = rest.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("x_label", "x").alias("a"), F.coalesce("y_label", "y").alias("b"))
+    joined = smallest_reachable(between).withColumnRenamed("node", "label")
+    nodes = labels.unionByName(joined.select(F.col("label").alias("node"), "label")).dropDuplicates(["node"])
+    named = nodes.join(joined, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    out = stash(classes.join(named, "node").select("digest", "label"))
+    for done in (lists, texts):
+        drop_stash(done)
+    return out
+
 
-    links, labels, tested, turn, fresh = None, None, None, 0, True
-    while True:
-        own = lists.withColumn("label", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        held = own.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        open_ = held.filter("n * n > squares")  # the holders of the others are one group already
-        wide, size = open_.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not wide:
-            break
-        every = wide <= WIDE * size or not fresh or turn >= rounds
-        if labels is not None:  # what is settled stays settled: later turns see the open shingles only
-            own = stash(own.join(open_.select("gram"), "gram"))
-            lists = own.drop("label")
-        x = own.select("gram", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("place").alias("x_at"), F.col("label").alias("x_label"))
-        y = own.select("gram", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("place").alias("y_at"), F.col("label").alias("y_label"))
-        if not every:  # HUBS hubs for each shingle: other choices each turn
-            hub = F.struct("y", "y_n", "y_at", "y_label")
-            choices = [F.min_by(hub, F.struct(F.xxhash64("y", F.lit(HUBS * turn + h)), F.col("y"))) for h in range(HUBS)]
-            y = y.groupBy("gram").agg(F.array_distinct(F.array(*choices)).alias("hubs")).select("gram", F.inline("hubs"))
-        pairs = _filtered(x.join(y, "gram").filter("x_label <> y_label" + (" and x < y" if every else "")), percent)
-        pairs = stash(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
-        good = stash(verified(pairs, _texts_of(placed, pairs), percent).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        fresh = not good.isEmpty()
-        if fresh:
-            links = good if links is None else links.union(good)
-            labels = stash(smallest_reachable(links).select("node", F.col("root").alias("label")))
-        if every:
-            break
-        tested, turn = pairs if tested is None else tested.union(pairs), turn + 1
-
-    named = placed.select("row", "doc_id").join(members, "row")
-    named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left")
-    return stash(named.select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "node").alias("group")))
+def groups(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, digest) of docs, and classes: digest, members, least (its smallest id), least_rows, component_id
+    (the smallest id of its group) and stays (whether its smallest id stands for the group)."""
+    found = stash(summaries(docs))
+    rows = found.filter("chunk < 0").select("doc_id", "n", "digest")
+    linked = linked_classes(docs, found, percent)
+    ids = rows.filter("n > 0").groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rows"))
+    classes = ids.groupBy("digest").agg(F.sum("rows").alias("members"), least.alias("least")).join(linked, "digest", "left")
+    classes = stash(classes.select("digest", "members", "label", F.col("least.last"), F.col("least.doc_id").alias("least"), F.col("least.rows").alias("least_rows")))
+    first = F.min(F.struct("last", "least", "digest")).alias("first")
+    heads = classes.filter("label is not null").groupBy("label").agg(first).select("label", F.col("first.least").alias("head"), F.col("first.digest").alias("head_digest"))
+    alone = F.col("label").isNull()
+    named = classes.join(heads, "label", "left").select(
+        "digest", "members", "least", "least_rows", F.when(alone, F.col("least")).otherwise(F.col("head")).alias("component_id"), (alone | (F.col("digest") == F.col("head_digest"))).alias("stays")
+    )
+    return rows, stash(named)
+
+
+def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows with the columns of their classes, by digest; those of classes with very many members meet them by broadcast."""
+    total = classes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    many = classes.filter(F.col("members") >= max(2, -(-total // HOT)))  # HOT classes at most
+    rest = rows.join(F.broadcast(many.select("digest")), "digest", "left_anti").join(classes, "digest")
+    return rows.join(F.broadcast(many), "digest").unionByName(rest)
 
 
 def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id of the row's group, for every row of docs."""
-    rows = grouped_rows(docs.select("doc_id", "text"), **options)
-    least = rows.filter("`group` is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    alone = F.col("group").isNull() | F.col("doc_id").isNull()
-    return rows.join(least, "group", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows, classes = groups(docs, **options)
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    size = F.col("n").cast("long").alias("n_shingles")
+    named = with_class(rows.filter("n > 0"), classes).select("doc_id", size, component.alias("component_id"))
+    return named.unionByName(rows.filter("n = 0").select("doc_id", size, F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: of each group the one with the smallest id (the first of its rows); rows without words all stay."""
-    placed = numbered(docs, "__row")
-    rows = grouped_rows(placed.select(F.col("__row").alias("row"), "doc_id", "text"), **options)
-    first = rows.filter("`group` is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
-    stay = first.select(F.col("first.row").alias("__row")).unionByName(rows.filter("`group` is null").select(F.col("row").alias("__row")))
-    return placed.join(stay, "__row", "left_semi").select(*docs.columns)
+    """The rows of docs that stay: of each group one row with the smallest id (of equal ids, a row of the smallest digest); rows without words all stay."""
+    _, classes = groups(docs, **options)
+
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingles = Shingles()
+        for texts in batches:
+            yield pd.Series([_digest(s) if len(s) else None for s in map(shingles.of, texts)])
+
+    rows = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("digest", F.pandas_udf(digest, "binary")("doc.text"))
+    own = with_class(rows, classes.withColumnRenamed("least", "head")).filter("stays").filter(F.col("doc.doc_id").cast("long").eqNullSafe(F.col("head")))
+    once = own.filter("least_rows = 1").select("doc").unionByName(own.filter("least_rows > 1").dropDuplicates(["digest"]).select("doc"))
+    return once.unionByName(rows.filter("digest is null").select("doc")).select("doc.*")

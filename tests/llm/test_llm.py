@@ -394,9 +394,9 @@ def brute_groups(docs):
     return {d[0]: (len(sets[i]), least[find(i)]) for i, d in enumerate(docs) if d[0] is not None}
 
 
-@pytest.mark.parametrize("wide", [100, 0])
-def test_jaccard_groups(stored, monkeypatch, wide):
-    monkeypatch.setattr(ngram_join, "WIDE", wide)
+@pytest.mark.parametrize("earlier", [64, 1])
+def test_jaccard_groups(stored, monkeypatch, earlier):
+    monkeypatch.setattr(ngram_join, "EARLIER", earlier)
     r = random.Random(6)
     docs, base = [], words(77, 120)
     for i in range(60):  # a group of near copies whose members differ by up to a few words
@@ -422,10 +422,11 @@ def test_join_odd(odd, empty):
 
 def test_components(spark, stored):
     r = random.Random(3)
-    edges = [(i, i + 1) for i in range(100)] + [(500, 500 + i) for i in range(1, 80)] + [(r.randrange(700, 900), r.randrange(700, 900)) for _ in range(120)] + [(5, 5)]
+    edges = [(950, 950), (None, 3)] + [(i, i + 1) for i in range(100)] + [(500, 500 + i) for i in range(1, 80)] + [(r.randrange(700, 900), r.randrange(700, 900)) for _ in range(120)] + [(5, 5)]
     got = {x.node: x.root for x in components.smallest_reachable(stored(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(101)) and all(got[500 + i] == 500 for i in range(80))
-    for a, b in edges:
+    assert got[950] == 950 and None not in got
+    for a, b in edges[2:]:
         assert a == b or got[a] == got[b] <= min(a, b)
 
 

@@ -26,6 +26,7 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import drop_stash, numbered, stash
 from .components import smallest_reachable
 
-SPAN, BUCKETS, CHUNK, SPLIT, HUBS, EARLIER = 5, 1 << 22, 1 << 14, 256, 3, 64
+SPAN, BUCKETS, CHUNK, SPLIT, HUBS, EARLIER, BITS = 5, 1 << 22, 1 << 14, 256, 3, 64, 1 << 26
 HOT = 1000  # a class of at least one in HOT rows is sent to the rows' tasks: at most HOT classes (2 * HOT rows or fewer: all that repeat)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -97,6 +98,11 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """The bytes of 32-bit counts, lowest bytes first, compressed: most are small."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
 def summaries(docs: DataFrame) -> DataFrame:
     """For each row (doc_id, text): n and the digest of its set. Further rows carry counters: chunk and counts."""
 
@@ -112,7 +118,7 @@ def summaries(docs: DataFrame) -> DataFrame:
         for at in range(0, BUCKETS, CHUNK):
             part = counts[at : at + CHUNK]
             if part.any():
-                yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "digest": [None], "chunk": [at // CHUNK], "counts": [part.astype("<u4").tobytes()]})
+                yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "digest": [None], "chunk": [at // CHUNK], "counts": [_packed(part)]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(summarize, "doc_id long, n int, digest binary, chunk int, counts binary")
 
@@ -125,7 +131,7 @@ def counters(rows: DataFrame) -> np.ndarray:
         for frame in frames:
             for chunk, raw in zip(frame["chunk"], frame["counts"]):
                 have = sums.setdefault(int(chunk), np.zeros(CHUNK, np.int64))
-                have += np.frombuffer(raw, "<u4")
+                have += np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).astype(np.int64).T @ (1 << 8 * np.arange(4))
         for chunk, total in sums.items():
             ranks = np.minimum(255, 16 * np.log2(1 + total / 8)).astype(np.uint8)
             yield pd.DataFrame({"chunk": [chunk], "ranks": [ranks.tobytes()]})
@@ -163,16 +169,19 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
 
 
 def shared_lists(posted: DataFrame, classes: DataFrame) -> DataFrame:
-    """(gram, node, n, place, holders): postings of shingles that two classes or more hold, one list for each set of holders."""
-    first = posted.join(classes.select("node"), posted["uid"] == classes["node"], "left_semi")
-    each = first.select(F.col("uid").alias("node"), "n", F.posexplode("prefix").alias("place", "gram"))
+    """(gram, node, n, place, holders): postings of shingles that two classes or more hold, one list for each set of holders.
+
+    posted may hold a class once for each task that met it; such copies leave the lists at the end.
+    """
+    each = posted.select(F.col("uid").alias("node"), "n", F.posexplode("prefix").alias("place", "gram"))
     several = each.groupBy("gram").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
     lists = stash(each.join(several, "gram"))
     low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))  # noqa: E731  sums of 32 bits stay whole up to 2 ** 31 holders
     h = F.xxhash64("node")
     sets = lists.groupBy("gram", "holders").agg(F.sum(low(h)).alias("s1"), F.sum(low(F.shiftrightunsigned(h, 32))).alias("s2"), F.sum(low(F.hash("node").cast("long"))).alias("s3"), F.min("place").alias("at"))
     chosen = sets.groupBy("holders", "s1", "s2", "s3").agg(F.min_by("gram", "at").alias("gram"))  # places follow one order: the first shingle's are the least
-    out = stash(lists.join(chosen.select("gram"), "gram"))
+    copies = posted.select("uid", "digest").join(classes, "digest").filter("uid <> node").select(F.col("uid").alias("node"))
+    out = stash(lists.join(chosen.select("gram"), "gram").join(copies, "node", "left_anti"))
     drop_stash(lists)
     return out
 
@@ -213,27 +222,43 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+def thinned(digests: DataFrame) -> np.ndarray:
+    """BITS bits, set at the places of the digests (digest): what has no bit is not among them. A filter of fixed size before joins."""
+    place = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") % BITS + 1
+    maps = digests.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in maps.toLocalIterator():  # BITS / 32768 rows of 4 KB at most
+        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _may_hold(bits: np.ndarray, digest: bytes) -> bool:
+    at = int.from_bytes(digest[:4], "big") % BITS
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
 def texts_of(docs: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
-    """(node, text, counts) of the classes that have a list: a text, and its set's counts over SPLIT ranges, up to 255."""
+    """(node, text, counts) of the classes that have a list: a text, compressed, and its set's counts over SPLIT ranges, up to 255."""
+    wanted = stash(classes.join(lists.select("node").distinct(), "node", "left_semi"))
+    shared = docs.sparkSession.sparkContext.broadcast(thinned(wanted))
 
     def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, seen = Shingles(), set()
+        shingles, seen, bits = Shingles(), set(), shared.value
         for frame in frames:
             out = []
             for text in frame["text"]:
                 s = shingles.of(text)
                 digest = _digest(s)
-                if len(s) and digest not in seen:
+                if len(s) and digest not in seen and _may_hold(bits, digest):
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(digest)
                     counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=SPLIT)
-                    out.append((digest, text, np.minimum(counts, 255).astype(np.uint8).tobytes()))
+                    out.append((digest, zlib.compress(text.encode("utf-8", "surrogatepass"), 1), np.minimum(counts, 255).astype(np.uint8).tobytes()))
             yield pd.DataFrame(out, columns=["digest", "text", "counts"])
 
-    wanted = classes.join(lists.select("node").distinct(), "node", "left_semi")
-    found = docs.select("text").mapInPandas(digests, "digest binary, text string, counts binary").join(wanted, "digest")
-    return stash(found.groupBy("node").agg(F.min(F.struct("text", "counts")).alias("least")).select("node", "least.text", "least.counts"))
+    found = docs.select("text").mapInPandas(digests, "digest binary, text binary, counts binary").join(wanted, "digest")
+    return stash(found.dropDuplicates(["digest"]).select("node", "text", "counts"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -251,7 +276,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for a, b in batches:
             out = []
             for p, q in zip(a, b):
-                p, q = shingles.of(p), shingles.of(q)
+                p, q = (shingles.of(zlib.decompress(t).decode("utf-8", "surrogatepass")) for t in (p, q))
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 out.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pd.Series(out)
@@ -283,20 +308,17 @@ def linked_classes(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame
 
 
 def groups(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, digest) of docs, and classes: digest, members, least (its smallest id), least_rows, component_id
+    """Rows (doc_id, n, digest) of docs, and classes: digest, members, least (its smallest id), linked, component_id
     (the smallest id of its group) and stays (whether its smallest id stands for the group)."""
     found = stash(summaries(docs))
     rows = found.filter("chunk < 0").select("doc_id", "n", "digest")
     linked = linked_classes(docs, found, percent)
-    ids = rows.filter("n > 0").groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rows"))
-    classes = ids.groupBy("digest").agg(F.sum("rows").alias("members"), least.alias("least")).join(linked, "digest", "left")
-    classes = stash(classes.select("digest", "members", "label", F.col("least.last"), F.col("least.doc_id").alias("least"), F.col("least.rows").alias("least_rows")))
-    first = F.min(F.struct("last", "least", "digest")).alias("first")
+    classes = stash(rows.filter("n > 0").groupBy("digest").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least")).join(linked, "digest", "left"))
+    first = F.min(F.struct(F.col("least").isNull().alias("last"), "least", "digest")).alias("first")
     heads = classes.filter("label is not null").groupBy("label").agg(first).select("label", F.col("first.least").alias("head"), F.col("first.digest").alias("head_digest"))
     alone = F.col("label").isNull()
     named = classes.join(heads, "label", "left").select(
-        "digest", "members", "least", "least_rows", F.when(alone, F.col("least")).otherwise(F.col("head")).alias("component_id"), (alone | (F.col("digest") == F.col("head_digest"))).alias("stays")
+        "digest", "members", "least", (~alone).alias("linked"), F.when(alone, F.col("least")).otherwise(F.col("head")).alias("component_id"), (alone | (F.col("digest") == F.col("head_digest"))).alias("stays")
     )
     return rows, stash(named)
 
@@ -319,15 +341,33 @@ def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: of each group one row with the smallest id (of equal ids, a row of the smallest digest); rows without words all stay."""
-    _, classes = groups(docs, **options)
+    """The rows of docs that stay: of each group one row with the smallest id (of equal ids, a row of the smallest digest); rows without words all stay.
 
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shingles = Shingles()
-        for texts in batches:
-            yield pd.Series([_digest(s) if len(s) else None for s in map(shingles.of, texts)])
+    Only rows that may belong to a group of several meet their class in a join; the rows of HOT classes are judged where they are.
+    """
+    _, classes = groups(docs, **options)
+    several = stash(classes.filter("members > 1 or not stays or linked").select("digest", "members", "stays", "least"))
+    total = classes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    hot = {bytes(r.digest): (r.stays, r.least) for r in several.filter(F.col("members") >= max(2, -(-total // HOT))).select("digest", "stays", "least").collect()}  # HOT at most
+    shared = docs.sparkSession.sparkContext.broadcast((hot, thinned(several)))
 
-    rows = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("digest", F.pandas_udf(digest, "binary")("doc.text"))
-    own = with_class(rows, classes.withColumnRenamed("least", "head")).filter("stays").filter(F.col("doc.doc_id").cast("long").eqNullSafe(F.col("head")))
-    once = own.filter("least_rows = 1").select("doc").unionByName(own.filter("least_rows > 1").dropDuplicates(["digest"]).select("doc"))
-    return once.unionByName(rows.filter("digest is null").select("doc")).select("doc.*")
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        """Null: the row stays. Empty: it goes. Else the digest under which to look it up."""
+        shingles, (many, bits) = Shingles(), shared.value
+        for texts, ids in batches:
+            out = []
+            for text, i in zip(texts, ids):
+                s = shingles.of(text)
+                digest = _digest(s) if len(s) else None
+                if digest in many:
+                    stays, least = many[digest]
+                    out.append(digest if stays and i == ("" if least is None else str(least)) else b"")
+                else:
+                    out.append(digest if digest is not None and _may_hold(bits, digest) else None)
+            yield pd.Series(out, dtype=object)
+
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    judged = rows.withColumn("digest", F.pandas_udf(judge, "binary")("doc.text", F.coalesce(F.col("doc.doc_id").cast("long").cast("string"), F.lit(""))))
+    met = judged.filter("digest is not null and digest <> X''").join(several.select("digest", "stays", F.col("least").alias("head")), "digest", "left")
+    own = met.filter(F.col("stays").isNull() | (F.col("stays") & F.col("doc.doc_id").cast("long").eqNullSafe(F.col("head"))))
+    return judged.filter("digest is null").select("doc").unionByName(own.dropDuplicates(["digest"]).select("doc")).select("doc.*")

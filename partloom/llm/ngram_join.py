@@ -14,8 +14,9 @@
 Only groups are asked for, so pairs inside a group that is already one need no check. The first turn pairs every posting
 with HUBS hubs of its shingle (linear in the postings), verifies, and unites. The second turn pairs the holders of a
 shingle that still lie in different groups: those outside the group of its first hub with all others. Each such pair
-comes from its longest common list only (exactly so among each class's EARLIER longest lists; beyond, a pair may come up
-again and is made distinct). That misses no link between groups: a pair left out lies inside one group.
+comes from its first common list only, where the positional filter is sharpest (exactly so among each class's EARLIER
+first lists; beyond, a pair may come up again and is made distinct). That misses no link between groups: a pair left out
+lies inside one group.
 
 Nulls and texts without words have an empty set, link with nothing and are components of their own (null ids keep a null
 component). Fewer words than the shingle length give one shingle, the whole sequence. Rows that repeat an id are members
@@ -31,13 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stash, numbered, stash
 from .components import smallest_reachable
 
-SPAN, BUCKETS, CHUNK, SPLIT, HUBS, EARLIER, BITS = 5, 1 << 22, 1 << 14, 256, 3, 64, 1 << 26
+SPAN, BUCKETS, CHUNK, SPLIT, HUBS, EARLIER, BITS = 5, 1 << 22, 1 << 14, 256, 3, 128, 1 << 26
 HOT = 1000  # a class of at least one in HOT rows is sent to the rows' tasks: at most HOT classes (2 * HOT rows or fewer: all that repeat)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -186,12 +187,15 @@ def shared_lists(posted: DataFrame, classes: DataFrame) -> DataFrame:
     return out
 
 
-def _possible(percent: int):
-    """The length filter and the positional filter on sizes x_n, y_n and places x_at, y_at."""
+def _possible(percent: int, first: Column | None = None):
+    """The length filter and the positional filter on sizes x_n, y_n and places x_at, y_at of a common shingle.
+
+    Where it is the first common one, the overlap lies behind it; else those before it may be common as well.
+    """
     least = F.ceil(percent * (F.col("x_n") + F.col("y_n")) / (100.0 + percent) - 1e-9)
     length = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
-    # The shared shingle at these places may be any common one, so those before it count as well.
-    return length & (F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= least)
+    before = F.least("x_at", "y_at") if first is None else F.when(first, 0).otherwise(F.least("x_at", "y_at"))
+    return length & (before + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= least)
 
 
 def _sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
@@ -200,10 +204,11 @@ def _sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
 
 
 def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Distinct (x, y): every posting with the HUBS first holders of its shingle, in the orders of as many hashes."""
+    """Distinct (x, y): every posting with HUBS holders of its shingle: the one with fewest rarer shingles (in a group of near
+    copies that is the least altered), and the first ones in the orders of hashes."""
     x, y = _sides(lists)
     hub = F.struct("y", "y_n", "y_at")
-    hubs = y.groupBy("gram").agg(F.array_distinct(F.array(*(F.min_by(hub, F.struct(F.xxhash64("y", F.lit(h)), F.col("y"))) for h in range(HUBS)))).alias("hubs"))
+    hubs = y.groupBy("gram").agg(F.array_distinct(F.array(*(F.min_by(hub, F.struct(F.col("y_at") if h == 0 else F.lit(0), F.xxhash64("y", F.lit(h)), F.col("y"))) for h in range(HUBS)))).alias("hubs"))
     pairs = x.join(hubs, "gram").select("gram", "x", "x_n", "x_at", F.inline("hubs")).filter("x <> y").filter(_possible(percent))
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
@@ -211,14 +216,15 @@ def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Distinct (x, y) of holders of one shingle that lie in different groups."""
     own = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = own.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", F.xxhash64("node", F.lit(0))).alias("main")).filter("low <> high").select("gram", "main")
-    by_size = Window.partitionBy("node").orderBy(F.desc("holders"), "gram")  # a node has as many lists as shingles in its prefix at most
-    placed = own.join(several, "gram").withColumn("seq", F.row_number().over(by_size))
-    before = F.collect_list(F.when(F.col("seq") <= EARLIER, F.col("gram"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
-    rows = stash(placed.withColumn("before", before).drop("seq"))
-    x, y = _sides(rows, "label", "main", "before")
+    several = own.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", F.struct("place", F.xxhash64("node", F.lit(0)))).alias("main")).filter("low <> high").select("gram", "main")
+    in_order = Window.partitionBy("node").orderBy("place")  # a node has as many lists as shingles in its prefix at most
+    placed = own.join(several, "gram").withColumn("seq", F.row_number().over(in_order))
+    before = F.collect_list(F.when(F.col("seq") <= EARLIER, F.col("gram"))).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = stash(placed.withColumn("before", before))
+    x, y = _sides(rows, "label", "main", "before", "seq")
     once = (F.col("y_label") == F.col("y_main")) | (F.col("x") < F.col("y"))
-    met = x.filter("x_label <> x_main").join(y, "gram").filter(F.col("x_label") != F.col("y_label")).filter(once & _possible(percent)).filter(~F.arrays_overlap("x_before", "y_before"))
+    first = F.greatest("x_seq", "y_seq") <= EARLIER + 1  # then the lists before are all known
+    met = x.filter("x_label <> x_main").join(y, "gram").filter(F.col("x_label") != F.col("y_label")).filter(once & _possible(percent, first)).filter(~F.arrays_overlap("x_before", "y_before"))
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
@@ -315,20 +321,20 @@ def groups(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     linked = linked_classes(docs, found, percent)
     classes = stash(rows.filter("n > 0").groupBy("digest").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least")).join(linked, "digest", "left"))
     first = F.min(F.struct(F.col("least").isNull().alias("last"), "least", "digest")).alias("first")
-    heads = classes.filter("label is not null").groupBy("label").agg(first).select("label", F.col("first.least").alias("head"), F.col("first.digest").alias("head_digest"))
-    alone = F.col("label").isNull()
-    named = classes.join(heads, "label", "left").select(
-        "digest", "members", "least", (~alone).alias("linked"), F.when(alone, F.col("least")).otherwise(F.col("head")).alias("component_id"), (alone | (F.col("digest") == F.col("head_digest"))).alias("stays")
-    )
-    return rows, stash(named)
+    heads = stash(classes.filter("label is not null").groupBy("label").agg(first, F.count(F.lit(1)).alias("size")).select("label", "size", F.col("first.least").alias("head"), F.col("first.digest").alias("head_digest")))
+    columns = ["digest", "members", "least", "linked", "component_id", "stays"]
+    joined = met(classes.filter("label is not null").withColumn("linked", F.lit(True)), heads, "label", "size")
+    joined = joined.withColumn("component_id", F.col("head")).withColumn("stays", F.col("digest") == F.col("head_digest")).select(columns)
+    alone = classes.filter("label is null").withColumn("linked", F.lit(False)).withColumn("component_id", F.col("least")).withColumn("stays", F.lit(True)).select(columns)
+    return rows, stash(joined.unionByName(alone))
 
 
-def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """rows with the columns of their classes, by digest; those of classes with very many members meet them by broadcast."""
-    total = classes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    many = classes.filter(F.col("members") >= max(2, -(-total // HOT)))  # HOT classes at most
-    rest = rows.join(F.broadcast(many.select("digest")), "digest", "left_anti").join(classes, "digest")
-    return rows.join(F.broadcast(many), "digest").unionByName(rest)
+def met(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of their groups, by key; the rows of groups with very many of them (size) meet these by broadcast."""
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    many = groups.filter(F.col(size) >= max(2, -(-total // HOT)))  # HOT groups at most
+    rest = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(groups, key)
+    return rows.join(F.broadcast(many), key).unionByName(rest)
 
 
 def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
@@ -336,7 +342,7 @@ def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
     rows, classes = groups(docs, **options)
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     size = F.col("n").cast("long").alias("n_shingles")
-    named = with_class(rows.filter("n > 0"), classes).select("doc_id", size, component.alias("component_id"))
+    named = met(rows.filter("n > 0"), classes, "digest", "members").select("doc_id", size, component.alias("component_id"))
     return named.unionByName(rows.filter("n = 0").select("doc_id", size, F.col("doc_id").alias("component_id")))
 
 
@@ -368,6 +374,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     rows = docs.select(F.struct(*docs.columns).alias("doc"))
     judged = rows.withColumn("digest", F.pandas_udf(judge, "binary")("doc.text", F.coalesce(F.col("doc.doc_id").cast("long").cast("string"), F.lit(""))))
-    met = judged.filter("digest is not null and digest <> X''").join(several.select("digest", "stays", F.col("least").alias("head")), "digest", "left")
-    own = met.filter(F.col("stays").isNull() | (F.col("stays") & F.col("doc.doc_id").cast("long").eqNullSafe(F.col("head"))))
+    found = judged.filter("digest is not null and digest <> X''").join(several.select("digest", "stays", F.col("least").alias("head")), "digest", "left")
+    own = found.filter(F.col("stays").isNull() | (F.col("stays") & F.col("doc.doc_id").cast("long").eqNullSafe(F.col("head"))))
     return judged.filter("digest is null").select("doc").unionByName(own.dropDuplicates(["digest"]).select("doc")).select("doc.*")

@@ -6,6 +6,7 @@ import pickle
 import tempfile
 import uuid
 
+import numpy as np
 import partloom
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,52 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1).cast("long"))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
+_STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_WINDOW = 1 << 20
+
+
+class WordHashes:
+    """64-bit hashes of the words of a text's lower-case bytes, in array operations only, a window of bytes at a time.
+
+    A word's hash is sum(BYTE[b_k] * STEP ** k) mod 2**64 over its bytes, from running sums over the window: the sum up to
+    its end less the sum up to its start, times STEP ** -start.
+    """
+
+    def __init__(self):
+        self.powers = self.backs = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = 1 << n.bit_length()
+            self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _STEP, np.uint64))])
+            self.backs = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _BACK, np.uint64))])
+
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and starts of the words of text (bytes in lower case)."""
+        raw = np.frombuffer(b" " + text + b" ", np.uint8)
+        edge = np.flatnonzero(np.diff(_SPACE[raw]))
+        begin, end = edge[::2] + 1, edge[1::2] + 1
+        out, at = [np.zeros(0, np.uint64)], 0
+        while at < len(begin):
+            to = max(at + 1, int(np.searchsorted(end, begin[at] + _WINDOW, side="right")))
+            low, high = begin[at], end[to - 1]
+            self._grow(int(high - low) + 1)
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_BYTE[raw[low:high]] * self.powers[: high - low], out=total[1:])
+            b, e = begin[at:to] - low, end[at:to] - low
+            h = (total[e] - total[b]) * self.backs[b]
+            out.append(h ^ (h >> np.uint64(29)))
+            at = to
+        return np.concatenate(out), begin - 1
+
+
+def lower_bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
+
+
 def share(spark: SparkSession, value: object):
     """Broadcasts value with the code of its classes; received() gives it to a task."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -60,11 +107,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/partloom-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later steps neither recompute it nor depend on an executor."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it back: later steps neither recompute it nor depend on an executor.
+
+    What was shuffled for it is deleted once it is written; nothing reads that again.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stash, numbered, stash
+from .common import WordHashes, drop_stash, lower_bytes, numbered, stash
 from .components import smallest_reachable
 
 SPAN, BUCKETS, CHUNK, SPLIT, HUBS, EARLIER, BITS = 5, 1 << 22, 1 << 14, 256, 3, 128, 1 << 26
@@ -43,39 +43,16 @@ HOT = 1000  # a class of at least one in HOT rows is sent to the rows' tasks: at
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
-_STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-
-
 class Shingles:
-    """Sorted distinct shingle hashes of whole texts, in array operations only.
-
-    A word's hash is sum(BYTE[b_k] * STEP ** k) mod 2**64 over its bytes, from running sums over the text: the sum up to
-    its end less the sum up to its start, times STEP ** -start. Shingles mix the hashes of their words.
-    """
+    """Sorted distinct shingle hashes of whole texts, in array operations only: a shingle mixes the hashes of its words."""
 
     def __init__(self):
-        self.powers = self.backs = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = 1 << n.bit_length()
-            self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _STEP, np.uint64))])
-            self.backs = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _BACK, np.uint64))])
+        self.words = WordHashes()
 
     def of(self, text: str | None) -> np.ndarray:
-        raw = np.frombuffer(f" {text or ''} ".encode("utf-8", "surrogatepass").lower(), np.uint8)  # bytes: A-Z only
-        edge = np.flatnonzero(np.diff(_SPACE[raw]))
-        begin, end = edge[::2] + 1, edge[1::2] + 1
-        if not len(begin):
-            return np.zeros(0, np.uint64)
-        self._grow(len(raw))
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * self.powers[: len(raw)], out=total[1:])
-        h = (total[end] - total[begin]) * self.backs[begin]
-        h ^= h >> np.uint64(29)
+        h, _ = self.words(lower_bytes(text))
+        if not len(h):
+            return h
         span = min(SPAN, len(h))
         n = len(h) - span + 1
         code = np.full(n, span, np.uint64)

@@ -16,6 +16,7 @@ from partloom.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, component_id string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def doc(i, text, source="a", lang="en"):
@@ -231,7 +232,7 @@ def test_toxicity(stored, odd, empty, no_labels):
 def test_suffix_tree(stored, odd, empty):
     docs = [doc(i, " ".join(words(i, 50))) for i in range(300)] + [doc(400, None), doc(401, ""), doc(402, "Zebra ZEBRA unseen☃")]
     got = {r.doc_id: r for r in suffix_tree.score_texts(stored(docs, DOCS)).collect()}
-    low = lambda t: WORD.findall((t or "").translate(suffix_tree._FOLD)) + [None]
+    low = lambda t: WORD.findall((t or "").translate(FOLD)) + [None]
     count = Counter(w for d in docs if zlib.crc32(str(d[0]).encode()) % 10 for w in low(d[1]))
     total, kinds = sum(count.values()), len(count)
     for d in docs:
@@ -243,42 +244,91 @@ def test_suffix_tree(stored, odd, empty):
     assert suffix_tree.score_texts(empty).count() == 0
 
 
-def test_tree_is_a_distribution(stored):
-    counts = stored([("abab", 30), ("abba", 20), ("ba", 9), ("c", 1)], "word string, c long")
-    numbers = suffix_tree.alphabet(counts)
-    root, levels = suffix_tree.frequent_contexts(suffix_tree.context_counts(counts, numbers), 1e-4)
-    kept = suffix_tree.states(root, levels, 0.1)
-    tree = suffix_tree.SuffixTree(numbers, root, kept)
-    assert any(len(k[0]) for k in kept)
-    for context in (0, 2, 2 << 7 | 3, 99):
-        assert abs(sum(10 ** tree.symbol(context, a) for a in range(len(numbers) + 2)) - 1) < 1e-9
-    assert tree.word("abab") > tree.word("aabb")
+def brute_suffix_scores(docs, rare, test):
+    """log10 probabilities by the same tree in dictionaries: contexts begin at the latest rare word or the one before it."""
+    low = lambda t: WORD.findall((t or "").translate(FOLD)) + [None]
+    seqs = [(zlib.crc32(str(d[0]).encode()) % 10 != 0, low(d[1])) for d in docs]
+    count = Counter(w for trains, s in seqs if trains for w in s)
+    total, kinds = sum(count.values()), len(count)
+    root = lambda w: math.log((count[w] + 0.1) / (total + 0.1 * (kinds + 1)))
+    is_rare = lambda w: w is not None and count[w] < rare
+    bound = math.log((rare + 0.1) / (total + 0.1 * (kinds + 1)))
+
+    def contexts(s, i):
+        starts = [j for j in range(i) if is_rare(s[j])][-2:][::-1]
+        return [tuple(s[j:i]) for j in starts]
+
+    n = Counter((k, c, s[i]) for trains, s in seqs if trains for i in range(len(s)) for k, c in enumerate(contexts(s, i)))
+    after = {}
+    for (k, c, w), m in n.items():
+        after.setdefault((k, c), {})[w] = m
+    memo = {}
+
+    def log(chain, w, for_test):
+        """(log chance, whether a state has seen w) by the longest state of the chain, the shortest context last."""
+        if not chain:
+            return (bound if for_test and is_rare(w) else root(w)), False
+        k, c = len(chain) - 1, chain[-1]
+        seen = after.get((k, c), {})
+        if not state(chain):
+            return log(chain[:-1], w, for_test)
+        size = sum(seen.values()) + len(seen)
+        if w in seen:
+            return math.log(seen[w] / size), True
+        up, told = log(chain[:-1], w, for_test)
+        return math.log(len(seen) / size) + up, told
+
+    def state(chain):
+        key = tuple(chain)
+        if key not in memo:
+            seen = after.get((len(chain) - 1, chain[-1]), {})
+            m, d = sum(seen.values()), len(seen)
+            gain = 0.0
+            if m >= 2:
+                for w, x in seen.items():
+                    gain += x * (math.log((x - 1) / (m - 1 + d)) - log(chain[:-1], w, True)[0]) if x >= 2 else math.log((d - 1) / (m - 1 + d - 1))
+            memo[key] = m >= 2 and gain > test
+        return memo[key]
+
+    return [sum(log(contexts(s, i), w, False)[0] for i, w in enumerate(s)) / math.log(10) for _, s in seqs], sum(memo.values())
+
+
+def copied(seed=4):
+    """Texts of which some repeat passages of others, whole or in part, over a few very common words and many rare ones."""
+    r = random.Random(seed)
+    word = lambda: r.choice(["the", "of", "and"]) if r.random() < 0.4 else f"w{r.randrange(900)}"
+    passages = [[word() for _ in range(r.randrange(5, 40))] for _ in range(25)]
+    docs = []
+    for i in range(260):
+        text = [word() for _ in range(r.randrange(0, 30))]
+        for _ in range(r.randrange(0, 3)):
+            text += r.choice(passages)[: r.randrange(3, 40)] + [word() for _ in range(4)]
+        docs.append(doc(i, " ".join(text)))
+    return docs
 
 
-def test_spelling_by_buckets_is_the_tree(stored, monkeypatch):
-    r = random.Random(5)
-    made = Counter("".join(r.choice("abcdé") for _ in range(r.randrange(1, 14))) for _ in range(600))
-    monkeypatch.setattr(suffix_tree, "BUCKET", 500)
-    monkeypatch.setattr(suffix_tree, "ALPHABET", 4)
-    counts = stored([(i, w, n * r.randrange(1, 30)) for i, (w, n) in enumerate(made.items())], "w long, word string, c long")
-    numbers = suffix_tree.alphabet(counts)
-    root, levels = suffix_tree.frequent_contexts(suffix_tree.context_counts(counts, numbers), 0.0)
-    tree = suffix_tree.SuffixTree(numbers, root, suffix_tree.states(root, levels, 8.0))
-    got = suffix_tree.spellings(counts, numbers, 8.0).join(counts, "w").collect()
-    assert len(got) == len(made)
-    for row in got:
-        assert abs(row.spelled - tree.word(row.word)) < 1e-9
-
-
-def test_rare_contexts_of_a_large_corpus_are_states(stored):
-    """Twenty words among 2.4 million symbols: their contexts are attested, whatever their share."""
-    held = [i for i in range(100, 300) if zlib.crc32(str(i).encode()) % 10 == 0][0]
-    train = [i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 10]
-    docs = [doc(i, "banana cabana " * 4300) for i in train[:40]] + [doc(i, "qxzqxjk") for i in train[40:50]] + [doc(held, "qxzqxjkq"), doc(-1, None)]
-    got = {r.doc_id: r for r in suffix_tree.score_texts(stored(docs, DOCS)).collect()}
-    assert got[held].held_out
-    # An end, a new word, then 7 symbols that are known by their contexts, 2 that aren't.
-    assert got[held].score > -25
+@pytest.mark.parametrize("bucket", [2_500_000, 400])
+def test_suffix_tree_is_that_of_brute_force(stored, monkeypatch, bucket):
+    monkeypatch.setattr(suffix_tree, "BUCKET", bucket)
+    docs = copied()
+    want, states = brute_suffix_scores(docs, 100, 3.0)
+    got = {r.doc_id: r for r in suffix_tree.score_texts(stored(docs, DOCS, 3)).collect()}
+    assert states > 50
+    for d, score in zip(docs, want):
+        assert abs(got[d[0]].score - score) < 1e-6 * max(1, abs(score)), d
+
+
+def test_suffix_tree_beats_the_base_on_held_out_texts(stored):
+    got = [r for r in suffix_tree.score_texts(stored(copied(9), DOCS)).collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.3 * sum(r.n_tokens for r in got)
+
+
+def test_packed_segments_round_trip():
+    r = np.random.default_rng(1)
+    length = r.integers(0, 5, 40)
+    seg = {"word": r.integers(0, 1 << 63, 40, np.uint64), "next": r.integers(0, 1 << 63, 40, np.uint64), "before": r.integers(0, 1 << 32, 40), "text": np.arange(40), "length": length, "trains": length > 2, "body": r.integers(0, 900_000, length.sum())}
+    back = suffix_tree.unpacked(suffix_tree.packed(seg))
+    assert all((back[k] == v).all() for k, v in seg.items())
 
 
 # --- secrets ---------------------------------------------------------------------------------------------------------
@@ -372,7 +422,7 @@ def test_warc(spark, stored, tmp_path):
 def brute_groups(docs):
     sets = []
     for d in docs:
-        w = WORD.findall((d[1] or "").translate(suffix_tree._FOLD))
+        w = WORD.findall((d[1] or "").translate(FOLD))
         k = min(5, len(w))
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
     root = list(range(len(docs)))

@@ -307,7 +307,7 @@ def copied(seed=4):
     return docs
 
 
-@pytest.mark.parametrize("bucket", [2_500_000, 400])
+@pytest.mark.parametrize("bucket", [1_000_000, 400])
 def test_suffix_tree_is_that_of_brute_force(stored, monkeypatch, bucket):
     monkeypatch.setattr(suffix_tree, "BUCKET", bucket)
     docs = copied()

@@ -101,6 +101,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-partloom-"))
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get()

@@ -17,6 +17,8 @@ An empty table gives empty archives and no captures.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,13 +27,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stash
+from .common import numbered, shared_dir, stash
 
-RECORDS = 1500
+RECORDS, ARCHIVE_BYTES = 1500, 1 << 29  # records in an archive at most, and bytes (before compression) unless one record alone has more
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_id string, type string, concurrent_to string, refers_to string, target string, digest string, block_bytes long, fields map<string,string>, payload string"
+RECORD = "record_id string, type string, concurrent_to string, refers_to string, target string, digest string, block_bytes long, payload_bytes long, payload_sha1 string, fields map<string,string>, payload string"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -68,7 +70,8 @@ def _record(kind: Column, record_id: Column, target: Column, content: str, body:
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """pages: page_id, url, html. Writes the archives of all pages under path."""
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long"), "url", "html")
+    rows = numbered(pages.select(F.col("page_id").cast("long"), "url", "html"), "row")
+    longest = rows.agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0)) + 3 * F.coalesce(F.max(F.octet_length("url")), F.lit(0)) + 2000).first()[0]
     typed = record_type(rows, min_bytes)
     target = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
     response, revisit = _id("response", F.col("row")), F.col("first").isNotNull()
@@ -80,7 +83,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         _record(F.when(revisit, "revisit").otherwise("response"), response, target, "application/http; msgtype=response", http, ("WARC-Payload-Digest", about), ("WARC-Refers-To", F.when(revisit, _id("response", F.col("first.row")))), ("WARC-Profile", F.when(revisit, F.lit(REVISIT)))),
         _record(F.lit("metadata"), _id("metadata", F.col("row")), target, "application/warc-fields", note, ("WARC-Concurrent-To", response)),
     )
-    typed.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    typed.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", max(3, min(RECORDS, 3 * ARCHIVE_BYTES // longest))).text(path)
 
 
 _LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)", re.I | re.M)
@@ -102,7 +105,7 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
-    """One row per record, RECORD above; payload (without the HTTP head) is null unless asked for."""
+    """One row per record, RECORD above. payload_bytes and payload_sha1 are taken from the block that was read; payload, as text, is null unless asked for."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split(" ")[0] for c in RECORD.split(", ")]
@@ -113,12 +116,14 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
                 for h, block in parse_archive(data):
                     kind = h.get("warc-type")
                     fields = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split("\r\n") if ": " in x) if kind == "metadata" else {}
-                    body = block.split(b"\r\n\r\n", 1)[-1].decode("utf-8", "replace") if payloads and kind == "response" else None
-                    rows.append((h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), len(block), fields, body))
+                    body = block.split(b"\r\n\r\n", 1)[-1] if kind == "response" else None
+                    found = (None, None) if body is None else (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+                    text = body.decode("utf-8", "replace") if payloads and body is not None else None
+                    rows.append((h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), len(block), *found, fields, text))
                     if len(rows) == 500:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield pd.DataFrame(rows, columns=columns).astype({"payload_bytes": "Int64"})
                         rows = []
-                yield pd.DataFrame(rows, columns=columns)
+                yield pd.DataFrame(rows, columns=columns).astype({"payload_bytes": "Int64"})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, RECORD)
 
@@ -128,7 +133,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Captures without a request or metadata keep nulls there.
     """
-    captures = records.filter(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("id"), F.struct("record_id", "type", "target", "digest", "refers_to", "block_bytes", "payload").alias("response"))
+    captures = records.filter(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("id"), F.struct("record_id", "type", "target", "digest", "refers_to", "block_bytes", "payload_bytes", "payload_sha1", "payload").alias("response"))
     others = records.filter(F.col("type").isin("request", "metadata")).groupBy(F.col("concurrent_to").alias("of")).agg(
         F.min(F.when(F.col("type") == "request", F.struct("record_id", "target", "block_bytes"))).alias("request"),
         F.min_by(F.struct("record_id", "fields"), F.when(F.col("type") == "metadata", F.col("record_id"))).alias("metadata"),
@@ -137,13 +142,27 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes the pages' archives to the shared folder, reads them back and gives one row per page."""
+    """Writes the pages' archives to the shared folder, reads them back and gives one row per page.
+
+    Size and digest are those of the payload that was read; a revisit has those of the response that it refers to. Raises
+    where a digest that was read differs from the header's.
+    """
     spark = pages.sparkSession
     path = shared_dir(spark)
     write_archives(pages, path, min_bytes)
-    captures = assemble(read_archives(spark, path, payloads=False))
+    records = stash(read_archives(spark, path, payloads=False))
+    captures = assemble(records)
+    referred = captures.filter("response.refers_to is not null").select(F.col("response.refers_to").alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("n"))
+    own = records.filter("type = 'response'").select(F.col("record_id").alias("of"), F.col("payload_bytes").alias("of_bytes"), F.col("payload_sha1").alias("of_sha1")).join(referred, "of")
+    many = F.broadcast(own.filter(F.col("n") >= max(2, -(-captures.count() // 1000))))  # 1,000 responses at most
+    rows = captures.withColumn("of", F.col("response.refers_to"))
+    alone = rows.filter("of is null").withColumns({"of_bytes": F.col("response.payload_bytes"), "of_sha1": F.col("response.payload_sha1")})
+    again = rows.filter("of is not null")
+    met = again.join(many.drop("n"), "of").unionByName(again.join(many.select("of"), "of", "left_anti").join(own.drop("n"), "of"))
     number = lambda name: F.nullif(F.col("metadata.fields")[name], F.lit("")).cast("long")
-    return captures.select(number("page_id").alias("page_id"), number("payload_bytes").alias("payload_bytes"), F.substring("response.digest", 6, 32).alias("payload_digest"), F.col("response.type").alias("record_type"), number("refers_to_page").alias("refers_to"))
+    every = alone.unionByName(met)
+    digest = F.when(F.concat(F.lit("sha1:"), F.col("of_sha1")) == F.col("response.digest"), F.col("of_sha1")).otherwise(F.raise_error(F.lit("payload and digest differ")).cast("string"))
+    return every.select(number("page_id").alias("page_id"), F.col("of_bytes").alias("payload_bytes"), digest.alias("payload_digest"), F.col("response.type").alias("record_type"), number("refers_to_page").alias("refers_to"))
 
 
 ORACLE = f"""

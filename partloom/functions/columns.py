@@ -64,7 +64,11 @@ def query_text(c: Column) -> Column:
 
 def query_kind(c: Column, sku_prefix: str) -> Column:
     """Sku, number or text; a text without a digit is text even with the company's prefix."""
-    norm = number_norm(query_text(c))
+    return kind_of(query_prefix(c), number_norm(query_text(c)), sku_prefix)
+
+
+def kind_of(prefix: Column, norm: Column, sku_prefix: str) -> Column:
+    """C3 from the kind that the prefix asks for (or null) and the norm."""
     own = number_norm(F.lit(sku_prefix))
     letters = F.length(F.regexp_replace(norm, "[^A-Z]", ""))
     guess = (
@@ -73,7 +77,7 @@ def query_kind(c: Column, sku_prefix: str) -> Column:
         .when((F.length(norm) >= MIN_NUMBER) & (letters * 2 < F.length(norm)), "number")
         .otherwise("text")
     )
-    return F.coalesce(query_prefix(c), guess)
+    return F.coalesce(prefix, guess)
 
 
 def brand_hints(c: Column) -> Column:

@@ -112,6 +112,13 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch from here on: a batch of whole texts stands in a Python worker several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps neither recompute it nor depend on an executor.
 

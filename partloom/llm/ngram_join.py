@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop_stash, lower_bytes, numbered, stash
+from .common import WordHashes, drop_stash, lower_bytes, numbered, small_batches, stash
 from .components import smallest_reachable
 
 SPAN, BUCKETS, CHUNK, SPLIT, HUBS, EARLIER, BITS = 5, 1 << 22, 1 << 14, 256, 3, 128, 1 << 26
@@ -293,6 +293,7 @@ def linked_classes(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame
 def groups(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, digest) of docs, and classes: digest, members, least (its smallest id), linked, component_id
     (the smallest id of its group) and stays (whether its smallest id stands for the group)."""
+    small_batches(docs.sparkSession)
     found = stash(summaries(docs))
     rows = found.filter("chunk < 0").select("doc_id", "n", "digest")
     linked = linked_classes(docs, found, percent)

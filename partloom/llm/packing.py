@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 SEGMENT, GRID, LEAST, MEMO = 1 << 18, 128, 512, 400_000
 
@@ -198,6 +200,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
 
     tokenizer_path: a tokenizers file whose end-of-word suffix is </w>. Penalties and the charge are in tokens.
     """
+    small_batches(docs.sparkSession)
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(tokenizer_path)

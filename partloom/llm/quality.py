@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, received, share, stash
+from .common import id_remainder, received, share, small_batches, stash
 
 SLOTS, DIM, NONZERO, WINDOW, HIDDEN = 1 << 16, 48, 4, 2, 32
 CHUNK, BLOCK = 1 << 12, 1 << 13  # slots in a row of sums; words whose contexts are summed at once
@@ -193,6 +193,7 @@ def fit(rows: DataFrame):
 
 def quality_score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_train: int = 5000) -> Column:
     """A column over `text`, from a model fitted on labelled rows outside the held-out fold. Only the text goes to Python."""
+    small_batches(docs.sparkSession)
     learn = id_remainder(F.col("doc_id"), folds) != held
     model = share(docs.sparkSession, fit(labelled_rows(docs, labels, "quality", learn, max_train)))
 

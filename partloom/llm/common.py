@@ -44,7 +44,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
 _STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_WINDOW = 1 << 20
+_WINDOW = 1 << 17
 
 
 class WordHashes:

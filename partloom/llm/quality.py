@@ -56,7 +56,7 @@ class Slots(dict):
     """token -> (its slot, its shape's slot)."""
 
     def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[token] = (zlib.crc32(token.encode("utf-8", "surrogatepass")) % SLOTS, zlib.crc32(_shape(token).encode()) % SLOTS)
         return found

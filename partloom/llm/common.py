@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import partloom
@@ -119,18 +120,25 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what is written meanwhile are deleted once it is written; nothing may read the same frames again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps neither recompute it nor depend on an executor.
 
     What was shuffled for it is deleted once it is written; nothing reads that again.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with shuffles_dropped(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, shared_dir, stash
+from .common import drop_stash, numbered, shared_dir, shuffles_dropped, stash
 
 RECORDS, ARCHIVE_BYTES = 1500, 1 << 29  # records in an archive at most, and bytes (before compression) unless one record alone has more
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -83,7 +83,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         _record(F.when(revisit, "revisit").otherwise("response"), response, target, "application/http; msgtype=response", http, ("WARC-Payload-Digest", about), ("WARC-Refers-To", F.when(revisit, _id("response", F.col("first.row")))), ("WARC-Profile", F.when(revisit, F.lit(REVISIT)))),
         _record(F.lit("metadata"), _id("metadata", F.col("row")), target, "application/warc-fields", note, ("WARC-Concurrent-To", response)),
     )
-    typed.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", max(3, min(RECORDS, 3 * ARCHIVE_BYTES // longest))).text(path)
+    with shuffles_dropped(rows.sparkSession):
+        typed.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", max(3, min(RECORDS, 3 * ARCHIVE_BYTES // longest))).text(path)
+    drop_stash(rows)
 
 
 _LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)", re.I | re.M)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -110,14 +111,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/partloom-{uuid.uuid4().hex}"
 
 
+ROW_GROUP = 16 << 20  # bytes of rows that a task's writer holds before they go to disk
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in an Arrow batch from here on: a batch of whole texts stands in a Python worker several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """At most so many rows, and about so many bytes, in an Arrow batch from here on: a batch of whole texts stands in a
+    Python worker and in the executor's own memory several times over."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key).lower())
+        if not now or not 0 < int(now.group(1)) <= most:
+            spark.conf.set(key, most)
 
 
 @contextmanager
@@ -138,7 +143,7 @@ def stash(df: DataFrame) -> DataFrame:
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     with shuffles_dropped(spark):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-#: Packaging units and the key fields of a record.
+#: Packaging units, and the key fields of a record in the order in which they are shown.
 UNITS = ("piece", "set", "pair", "kit")
-KEY_FIELDS = ("part_type", "position", "fitment", "dims", "oe_numbers", "price", "currency", "moq", "quote_date")
+KEY_FIELDS = ("part_type", "position", "fitment", "oe_numbers", "dims", "price", "currency", "moq", "quote_date")
 
 
 def canonical_brand(df: DataFrame, col: str, aliases: DataFrame) -> DataFrame:

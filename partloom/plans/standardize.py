@@ -94,7 +94,7 @@ def attribute_rows(c: Catalog) -> DataFrame:
     return S.attribute_rows(c.read("part").select(F.col("p_partkey").alias("part_id"), F.col("p_type").alias("category")), _attributes(c), _schemas(c))
 
 
-@register("c30_missing_fields", f"SELECT identity, concat_ws(',', CASE WHEN part_type = '' THEN 'part_type' END, CASE WHEN position = '' THEN 'position' END, CASE WHEN model = '' THEN 'fitment' END, CASE WHEN dim_a IS NULL THEN 'dims' END, CASE WHEN oe = '' THEN 'oe_numbers' END, 'currency') AS missing FROM ({CURRENT})", "records")
+@register("c30_missing_fields", f"SELECT identity, concat_ws(',', CASE WHEN part_type = '' THEN 'part_type' END, CASE WHEN position = '' THEN 'position' END, CASE WHEN model = '' THEN 'fitment' END, CASE WHEN oe = '' THEN 'oe_numbers' END, CASE WHEN dim_a IS NULL THEN 'dims' END, 'currency') AS missing FROM ({CURRENT})", "records")
 def missing_fields(c: Catalog) -> DataFrame:
     rows = A.current_records(c.records).withColumns({"fitment": F.col("model"), "dims": F.col("dim_a"), "oe_numbers": F.col("oe"), "price": F.col("price_cents"), "currency": F.lit("")})
     return S.missing_fields(rows, F.lit(True)).select("identity", F.array_join("missing", ",").alias("missing"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import header_key
 
 #: Texts that stand for no value, and the fields that several columns may feed.
-BLANKS = ("-", "--", "/", "n/a", "na", "none", "null", "tbd", "tba")
+BLANKS = ("-", "--", "—", "/", "n/a", "na", "none", "null", "tbd")
 MULTIPLE = ("oe_numbers", "spec", "note", "ignore")
 IDENTITY = ("sku", "supplier_sku", "oe_numbers", "name")
 NUMERIC = r"^[+-]?[\d\s]*[\d,]*\.?\d+$"

@@ -13,7 +13,7 @@ from ..functions import columns as C
 from ..operators import matching as M
 from ..operators import quality as Q
 from ..streaming import inquiries as S
-from .catalog import GAP, flagged, numbers_, register
+from .catalog import GAP, SETTLED, flagged, numbers_, register
 
 
 def _folder(c: Catalog) -> str:
@@ -37,14 +37,24 @@ def _run(stream: DataFrame, c: Catalog, mode: str = "append") -> DataFrame:
     return c.spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-@register("m1_stream_settled")
+def _closed(stream: DataFrame, c: Catalog, days: int) -> DataFrame:
+    """The finite stream with one more row, days after its last: it moves the watermark over all that is still open."""
+    folder = _folder(c)
+    last = c.inquiries.agg(F.max("ts").cast("timestamp").alias("ts"))
+    values = {"inquiry_id": F.lit(-1), "user_id": F.lit(-1), "ts": F.col("ts") + F.make_dt_interval(F.lit(days)), "raw": F.lit(""), "query_key": F.lit(""), "is_text": F.lit(True), "matched_part": F.lit(None)}
+    last.select(*(values[f.name].cast(f.dataType).alias(f.name) for f in stream.schema)).write.parquet(f"{folder}/closing")
+    return stream.unionByName(c.spark.readStream.schema(stream.schema).parquet(f"{folder}/closing"))
+
+
+@register("m1_stream_settled", f"SELECT inquiry_id, user_id, query_key FROM ({SETTLED}) WHERE NOT superseded", "inquiries")
 def settled(c: Catalog) -> DataFrame:
-    return _run(S.stream_settled(_events(c), GAP), c)
+    return _run(S.stream_settled(_closed(_events(c), c, 2), GAP), c).filter("inquiry_id >= 0")
 
 
-@register("m4_stream_unmatched")
+@register("m4_stream_unmatched", "SELECT day, query_key, count(*) AS n FROM (SELECT ts::DATE - unnest(range(30))::INTEGER AS day, query_key FROM inquiries WHERE is_text AND matched_part IS NULL) GROUP BY 1, 2", "inquiries")
 def unmatched(c: Catalog) -> DataFrame:
-    return _run(S.stream_unmatched(_events(c), "2 days", "1 day"), c)
+    """Windows of 30 days, named by their first day."""
+    return _run(S.stream_unmatched(_closed(_events(c), c, 62)), c).select(F.col("start").cast("date").alias("day"), "query_key", "n")
 
 
 @register("m3_stream_match")

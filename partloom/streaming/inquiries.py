@@ -34,7 +34,7 @@ def stream_settled(stream: DataFrame, gap_seconds: int = 60, late: str = "10 sec
     """M1: (inquiry_id, user_id, query_key) of the searches that stand, each emitted once, gap after its time.
 
     Rows later than `late` behind the watermark are dropped. A user's state holds the searches of the last gap only.
-    Searches without a user stand at once and need no state: take them from the stream before this job.
+    Searches without a user stand at once and need no state.
     """
     gap = gap_seconds * 1_000_000
 
@@ -54,7 +54,8 @@ def stream_settled(stream: DataFrame, gap_seconds: int = 60, late: str = "10 sec
         yield pd.DataFrame(kept, columns=["inquiry_id", "user_id", "query_key"]).astype({"inquiry_id": "int64", "user_id": "int64"})
 
     rows = stream.filter("user_id is not null").withWatermark("ts", late).select("inquiry_id", "user_id", "ts", "query_key", "is_text", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "inquiry_id long, user_id long, query_key string", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    known = rows.groupBy("user_id").applyInPandasWithState(step, "inquiry_id long, user_id long, query_key string", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return known.unionByName(stream.filter("user_id is null").select("inquiry_id", F.col("user_id").cast("long").alias("user_id"), "query_key"))
 
 
 def stream_unmatched(stream: DataFrame, width: str = "30 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:

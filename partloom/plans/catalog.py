@@ -383,10 +383,3 @@ def scientific(c: Catalog) -> DataFrame:
 @register("c24_query_key", f"SELECT query_id, regexp_replace(lower(text), '[\\s\\-_./]+', '', 'g') AS query_key FROM ({PARSED})", "parts", "numbers")
 def query_key(c: Catalog) -> DataFrame:
     return asked(c).select("query_id", C.query_key(F.col("raw")).alias("query_key"))
-
-
-@register("d8_search_text", "SELECT doc_id, n_name FROM documents JOIN nation ON contains(lower(text), lower(n_name))")
-def search_text(c: Catalog) -> DataFrame:
-    """Case-insensitive contains. The searched words are a dimension (nation: 25 rows), so they stand beside every text."""
-    words = c.read("nation").select("n_name")
-    return c.read("documents").join(F.broadcast(words), F.contains(F.lower("text"), F.lower("n_name"))).select("doc_id", "n_name")

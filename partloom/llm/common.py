@@ -125,6 +125,19 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
             spark.conf.set(key, most)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int = 1000, size: int = 4 << 20):
+    """small_batches() for what is run meanwhile; the session's own settings hold again afterwards."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    small_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """Shuffle files of what is written meanwhile are deleted once it is written; nothing may read the same frames again."""

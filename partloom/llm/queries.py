@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, quality, rules, secrets, suffix_tree, topk, toxicity, warc
+from . import decontaminate, mixing, ngram_join, packing, quality, rules, secrets, suffix_tree, topk, toxicity, warc
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_mix_sources, op3_quality_rules, op4_packing, op5_quality_classifier, op6_lm_scoring, op7_secret_scan, op8_warc, op9_toxicity, op10_ngram_join)}
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-ORACLE_SQL = {"op1_topk_search": topk.ORACLE, "op2_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_mix_sources, op3_quality_rules, op4_packing, op5_quality_classifier, op6_lm_scoring, op7_secret_scan, op8_warc, op9_toxicity, op10_ngram_join, op13_decontaminate)}
+
+ORACLE_SQL = {"op1_topk_search": topk.ORACLE, "op2_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE, "op13_decontaminate": decontaminate.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, negatives, ngram_join, packing, quality, rules, secrets, suffix_tree, topk, toxicity, warc
+from . import decontaminate, mixing, negatives, ngram_join, packing, quality, repair, rules, secrets, suffix_tree, topk, toxicity, warc
 from .common import table
 
 
@@ -55,6 +55,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair_digests(repair.damage(conversations), conversations)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 100 == 0)
@@ -64,6 +69,6 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_mix_sources, op3_quality_rules, op4_packing, op5_quality_classifier, op6_lm_scoring, op7_secret_scan, op8_warc, op9_toxicity, op10_ngram_join, op12_hard_negatives, op13_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_mix_sources, op3_quality_rules, op4_packing, op5_quality_classifier, op6_lm_scoring, op7_secret_scan, op8_warc, op9_toxicity, op10_ngram_join, op11_conversation_repair, op12_hard_negatives, op13_decontaminate)}
 
-ORACLE_SQL = {"op1_topk_search": topk.ORACLE, "op2_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_decontaminate": decontaminate.ORACLE}
+ORACLE_SQL = {"op1_topk_search": topk.ORACLE, "op2_mix_sources": mixing.ORACLE, "op8_warc": warc.ORACLE, "op11_conversation_repair": repair.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_decontaminate": decontaminate.ORACLE}

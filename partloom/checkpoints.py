@@ -8,15 +8,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def root(spark: SparkSession) -> str:
+    """The folder that all executors reach: spark.checkpoint.dir; a machine-local one only in local mode where that is unset (tests)."""
+    set_ = spark.conf.get("spark.checkpoint.dir", None)
+    if set_:
+        return set_.rstrip("/")
+    now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if now.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-partloom-"))
+        now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return now.get().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint(): in the folder of spark.checkpoint.dir, or in a local one where none is set (tests)."""
+    """df.checkpoint() in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-partloom-"))
+        context.setCheckpointDir(root(df.sparkSession))
     return df.checkpoint()
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that all executors reach: under spark.checkpoint.dir, a local one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-partloom-")
-    return f"{root.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    """A new folder that all executors reach."""
+    return f"{root(spark)}/rounds-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to a new shared folder and read back, columns and types as they are."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -115,12 +115,6 @@ def test_claims():
     assert I.claim(rows)["result"].tolist() == ["new", "skipped", "skipped", "duplicate", "invalid"]
 
 
-def test_decisions():
-    rows = pd.DataFrame([(1, "different", "a", "c", 1, 3), (2, "same", "a", "b", 1, 2), (3, "same", "b", "c", 2, 3), (4, "same", "a", "b", 1, 2), (5, "different", "a", "x", 1, 2)], columns=["decision_id", "kind", "a", "b", "product_a", "product_b"])
-    got = I.decide(rows)
-    assert got["applied"].tolist() == [True, True, False, False, False] and got["product_id"].tolist() == [1, 1, 1, 1, 1]
-
-
 def test_csv_grids(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿OE号;Price\n123;4,5\n".encode("utf-8"))
     (tmp_path / "b.csv").write_bytes("品名,价格\n刹车片,5\n".encode("gb18030"))

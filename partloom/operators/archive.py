@@ -16,6 +16,7 @@ from ..functions.columns import plain_key
 MAX_BLOCK, MIN_NUMBER, TOLERANCE = 200, 5, 100
 KEY_FIELDS = ("part_type", "position", "make", "model", "years", "dims", "oe")
 QUOTE_FIELDS = ("price_cents", "moq", "quote_date")
+OTHER_FIELDS = ("name", "supplier_sku")  # compared where the tables have them
 CATEGORIES = ("strong", "no_number", "same_source", "number_conflict", "position_conflict", "spec_conflict", "insufficient")
 STRENGTH = {"strong": "strong", "no_number": "medium", "same_source": "medium", "number_conflict": "conflict", "position_conflict": "conflict", "spec_conflict": "conflict", "insufficient": "weak", "incomplete": "info"}
 
@@ -50,7 +51,7 @@ def sorted_dims(prefix: str = "") -> Column:
     return F.when(d[0].isNotNull() & d[1].isNotNull() & d[2].isNotNull(), F.array_sort(F.array(*d)))
 
 
-def compared(prefix: str) -> dict[str, Column]:
+def compared(prefix: str, others=()) -> dict[str, Column]:
     """The values that versions are compared by; years and sizes as texts."""
     c = lambda n: F.col(prefix + n)
     show = lambda *xs: F.concat_ws("-", *(F.coalesce(x.cast("string"), F.lit("")) for x in xs))
@@ -58,22 +59,25 @@ def compared(prefix: str) -> dict[str, Column]:
         "part_type": c("part_type"), "position": c("position"), "make": c("make"), "model": c("model"), "years": show(c("year_from"), c("year_to")),
         "dims": F.array_join(F.transform(sorted_dims(prefix), lambda x: x.cast("string")), "x"), "oe": c("oe"),
         "price_cents": c("price_cents").cast("string"), "moq": c("moq").cast("string"), "quote_date": c("quote_date").cast("string"),
+        **{n: F.coalesce(c(n).cast("string"), F.lit("")) for n in others},
     }
 
 
 def diff_versions(records: DataFrame) -> DataFrame:
     """J9 over neighbouring versions: identity, version, change and the fields that differ.
 
-    change: key_change if any key field differs, price_update if only quote fields do, '' if nothing does.
+    change: key_change if any key field differs, price_update if only quote fields do, info_update if others do, '' if nothing does.
     """
     fields = [f for f in records.columns if f not in ("identity", "version")]
     w = Window.partitionBy("identity").orderBy("version")
     pairs = records.withColumn("__old", F.lag(F.struct(*fields)).over(w)).filter("__old is not null")
-    old, new = compared("__old."), compared("")
+    others = [n for n in OTHER_FIELDS if n in fields]
+    old, new = compared("__old.", others), compared("", others)
     differ = lambda names: [F.when(~old[n].eqNullSafe(new[n]), F.lit(n)) for n in names]
     keys, quotes = F.array_compact(F.array(*differ(KEY_FIELDS))), F.array_compact(F.array(*differ(QUOTE_FIELDS)))
-    change = F.when(F.size(keys) > 0, "key_change").when(F.size(quotes) > 0, "price_update").otherwise("")
-    return pairs.select("identity", "version", change.alias("change"), F.array_join(F.concat(keys, quotes), ",").alias("fields"))
+    rest = F.array_compact(F.array(*differ(others))) if others else F.array().cast("array<string>")
+    change = F.when(F.size(keys) > 0, "key_change").when(F.size(rest) > 0, "info_update").when(F.size(quotes) > 0, "price_update").otherwise("")
+    return pairs.select("identity", "version", change.alias("change"), F.array_join(F.concat(keys, quotes, rest), ",").alias("fields"))
 
 
 def content_hash() -> Column:
@@ -81,14 +85,26 @@ def content_hash() -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(v, F.lit("")) for v in compared("").values())), 256)
 
 
-def plan_ingest(incoming: DataFrame, current: DataFrame) -> DataFrame:
-    """Every incoming row's change against the current version of its identity: new, unchanged, or J9's change."""
+def plan_ingest(incoming: DataFrame, current: DataFrame, file_id: str | None = None) -> DataFrame:
+    """Every incoming row's change against the current version of its identity: new, unchanged, or J9's change.
+
+    Where both tables have a content_hash, equal hashes are unchanged and rows that differ in nothing compared are info_update.
+    Records of the file itself don't count as current.
+    """
+    if file_id is not None and "file_id" in current.columns:
+        current = current.filter(~F.col("file_id").eqNullSafe(F.lit(file_id)))
     fields = [c for c in current.columns if c != "identity"]
     have = current.select("identity", F.struct(*fields).alias("__old"))
     both = incoming.join(have, "identity", "left")
-    old, new = compared("__old."), compared("")
+    hashed = "content_hash" in incoming.columns and "content_hash" in fields
+    others = [n for n in OTHER_FIELDS if n in incoming.columns and n in fields]
+    old, new = compared("__old.", others), compared("", others)
     differ = lambda names: F.lit(False) if not names else _any([~old[n].eqNullSafe(new[n]) for n in names])
-    change = F.when(F.col("__old").isNull(), "new").when(differ(KEY_FIELDS), "key_change").when(differ(QUOTE_FIELDS), "price_update").otherwise("unchanged")
+    alike = F.col("__old.content_hash").eqNullSafe(F.col("content_hash")) if hashed else F.lit(False)
+    change = (
+        F.when(F.col("__old").isNull(), "new").when(alike, "unchanged").when(differ(KEY_FIELDS), "key_change").when(differ(others), "info_update")
+        .when(differ(QUOTE_FIELDS), "price_update").otherwise("info_update" if hashed else "unchanged")
+    )
     return both.withColumn("change", change).withColumn("new_version", F.coalesce(F.col("__old.version"), F.lit(0)) + 1).drop("__old")
 
 

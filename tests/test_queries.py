@@ -10,7 +10,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from partloom.plans import archive, catalog, exports, imports, review, sheets, standardize, streams  # noqa: F401
+from partloom.plans import archive, catalog, exports, imports, ingesting, review, sheets, standardize, streams  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..functions.columns import plain_key
+from .importing import components
 
 #: Fixed values of the matching rules.
 MAX_BLOCK, MIN_NUMBER, TOLERANCE = 200, 5, 100
@@ -209,21 +210,24 @@ def incomplete_items(current: DataFrame, fields=("part_type", "position", "fitme
     return current.select("identity", missing.alias("missing")).filter("missing <> ''")
 
 
-def rematch(candidates: DataFrame, items: DataFrame) -> DataFrame:
-    """(a, b, evidence_hash) against items (a, b, status, evidence_hash): what happens to each.
+def rematch_action() -> Column:
+    """What happens to an item (status, evidence_hash; null: none yet) whose candidate's hash is `now` (null: no candidate).
 
     decided and unchanged: keep; decided and changed: supersede and reopen; open and still a candidate: keep or update;
     open and no candidate any more: remove; new: create.
     """
-    c = candidates.select("a", "b", F.col("evidence_hash").alias("now"))
-    j = c.join(items, ["a", "b"], "full")
     decided = F.col("status").isNotNull() & ~F.col("status").isin("open", "superseded")
     same = F.col("now").eqNullSafe(F.col("evidence_hash"))
-    action = (
+    return (
         F.when(F.col("status").isNull(), "create").when(F.col("now").isNull(), F.when(F.col("status") == "open", "remove").otherwise("keep"))
         .when(decided, F.when(same, "keep").otherwise("reopen")).when(same, "keep").otherwise("update")
     )
-    return j.select("a", "b", action.alias("action"))
+
+
+def rematch(candidates: DataFrame, items: DataFrame) -> DataFrame:
+    """(a, b, evidence_hash) against items (a, b, status, evidence_hash): what happens to each, by rematch_action()."""
+    c = candidates.select("a", "b", F.col("evidence_hash").alias("now"))
+    return c.join(items, ["a", "b"], "full").select("a", "b", rematch_action().alias("action"))
 
 
 def review_counts(judged: DataFrame) -> DataFrame:
@@ -233,22 +237,9 @@ def review_counts(judged: DataFrame) -> DataFrame:
     return every.join(judged.groupBy("category").agg(F.count(F.lit(1)).alias("n")), "category", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def review_clusters(judged: DataFrame, rounds: int = 100) -> DataFrame:
-    """Pairs with the cluster they belong to: components over pairs without conflict; a conflict stands alone.
-
-    Smallest-label propagation with pointer jumping; every round is written to the checkpoint folder.
-    """
-    calm = judged.filter("strength <> 'conflict'").select("a", "b")
-    edges = cut(calm.union(calm.select("b", "a")).toDF("x", "y").distinct())
-    labels = edges.select("x").distinct().withColumn("label", F.col("x"))
-    for _ in range(rounds):
-        near = edges.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        step = labels.join(near, "x").select("x", F.least("label", "near").alias("next"), "label")
-        jump = labels.select(F.col("x").alias("next"), F.col("label").alias("far"))
-        moved = cut(step.join(jump, "next", "left").select("x", F.least("next", F.coalesce("far", "next")).alias("new"), "label"))
-        labels = moved.select("x", F.col("new").alias("label"))
-        if moved.filter("new <> label").isEmpty():
-            break
+def review_clusters(judged: DataFrame) -> DataFrame:
+    """Pairs with the cluster they belong to: components over pairs without conflict; a conflict stands alone."""
+    labels = components(judged.filter("strength <> 'conflict'").select(F.col("a").alias("x"), F.col("b").alias("y")))
     named = judged.join(labels.withColumnRenamed("x", "a"), "a", "left")
     return named.withColumn("cluster", F.when(F.col("strength") == "conflict", F.concat_ws("~", "a", "b")).otherwise(F.col("label"))).drop("label")
 
@@ -303,15 +294,19 @@ def product_status_counts(memberships: DataFrame) -> DataFrame:
     return memberships.groupBy("status").agg(F.count_distinct("product_id").alias("n_products"))
 
 
-def resolve_merged(products: DataFrame, rounds: int = 64) -> DataFrame:
-    """(product_id, merged_into) to the survivor, by pointer jumping: twice as far each round."""
-    now = cut(products.select("product_id", F.coalesce("merged_into", "product_id").alias("survivor")))
-    for _ in range(rounds):
+def resolve_merged(products: DataFrame) -> DataFrame:
+    """(product_id, merged_into) to the survivor, by pointer jumping: twice as far each round, until nothing moves. Products
+    that merge in a ring have no survivor and raise ValueError."""
+    now = cut(products.select("product_id", F.coalesce("merged_into", "product_id").alias("survivor"), (F.col("merged_into") != F.col("product_id")).alias("gone")))
+    gone = now.filter("gone").select("product_id")
+    for _ in range(now.count().bit_length() + 1):
         hop = now.select(F.col("product_id").alias("survivor"), F.col("survivor").alias("next"))
         moved = cut(now.join(hop, "survivor", "left").select("product_id", F.coalesce("next", "survivor").alias("next"), "survivor"))
         now = moved.select("product_id", F.col("next").alias("survivor"))
         if moved.filter("next <> survivor").isEmpty():
             break
+    if not now.select(F.col("survivor").alias("product_id")).join(gone, "product_id", "left_semi").isEmpty():
+        raise ValueError("products are merged into each other in a ring")
     return now
 
 

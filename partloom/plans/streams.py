@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import folder
 from ..fixture import Catalog
 from ..functions import columns as C
 from ..operators import matching as M
@@ -17,9 +15,7 @@ from .catalog import GAP, SETTLED, flagged, numbers_, register
 
 
 def _folder(c: Catalog) -> str:
-    """A new folder that all executors reach: under spark.checkpoint.dir, a local one only where that is unset."""
-    root = c.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-partloom-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return folder(c.spark)
 
 
 def _events(c: Catalog) -> DataFrame:
@@ -32,18 +28,18 @@ def _events(c: Catalog) -> DataFrame:
 
 
 def _run(stream: DataFrame, c: Catalog, mode: str = "append") -> DataFrame:
-    folder = _folder(c)
-    stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return c.spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    home = _folder(c)
+    stream.writeStream.format("parquet").outputMode(mode).option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return c.spark.read.schema(stream.schema).parquet(f"{home}/out")
 
 
 def _closed(stream: DataFrame, c: Catalog, days: int) -> DataFrame:
     """The finite stream with one more row, days after its last: it moves the watermark over all that is still open."""
-    folder = _folder(c)
+    home = _folder(c)
     last = c.inquiries.agg(F.max("ts").cast("timestamp").alias("ts"))
     values = {"inquiry_id": F.lit(-1), "user_id": F.lit(-1), "ts": F.col("ts") + F.make_dt_interval(F.lit(days)), "raw": F.lit(""), "query_key": F.lit(""), "is_text": F.lit(True), "matched_part": F.lit(None)}
-    last.select(*(values[f.name].cast(f.dataType).alias(f.name) for f in stream.schema)).write.parquet(f"{folder}/closing")
-    return stream.unionByName(c.spark.readStream.schema(stream.schema).parquet(f"{folder}/closing"))
+    last.select(*(values[f.name].cast(f.dataType).alias(f.name) for f in stream.schema)).write.parquet(f"{home}/closing")
+    return stream.unionByName(c.spark.readStream.schema(stream.schema).parquet(f"{home}/closing"))
 
 
 @register("m1_stream_settled", f"SELECT inquiry_id, user_id, query_key FROM ({SETTLED}) WHERE NOT superseded", "inquiries")
@@ -59,8 +55,8 @@ def unmatched(c: Catalog) -> DataFrame:
 
 @register("m3_stream_match")
 def match(c: Catalog) -> DataFrame:
-    folder = _folder(c)
+    home = _folder(c)
     asked = _events(c).filter("is_text").select(F.col("inquiry_id").alias("query_id"), F.concat(F.lit("20"), F.lpad("raw", 5, "0")).alias("raw"))
     matcher = lambda batch: M.match_queries(M.queries_of(batch), c.parts, numbers_(c), c.fitments, Q.completeness(flagged(c))).select("query_id", "part_id", "level", "milli", "rank")
-    S.stream_match(asked, matcher, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return c.spark.read.schema("query_id long, part_id long, level int, milli int, rank int").parquet(f"{folder}/out").select("query_id", "part_id", "level", "milli", "rank")
+    S.stream_match(asked, matcher, f"{home}/out", f"{home}/state").awaitTermination()
+    return c.spark.read.schema("query_id long, part_id long, level int, milli int, rank int").parquet(f"{home}/out").select("query_id", "part_id", "level", "milli", "rank")

@@ -1,7 +1,9 @@
 """Misspelt names against brute force, record search with short and empty texts, vehicles and suggestions at their edges."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from partloom.operators import archive as A
 from partloom.operators import review as R
 
 
@@ -52,3 +54,21 @@ def test_suggestions_for_nothing(spark):
     assert (got[1].name, got[1].source, got[1].confidence, got[1].attributes) == ("x", "import", 90, {"a": "1"})
     assert (got[2].name, got[2].source, got[2].confidence, got[2].attributes) == ("", "ai", 40, {"a": "2"})
     assert R.suggestion_counts(parts.select(F.lit("new").alias("status")).limit(0), ["new", "done"]).collect() == [("new", 0), ("done", 0)]
+
+
+def test_clusters_of_a_long_chain(spark):
+    """Any length: no round is the last before all labels stand."""
+    pairs = [(f"n{k:04d}", f"n{k + 1:04d}", "strong", "strong") for k in range(300)] + [("n0000", "z", "spec_conflict", "conflict")]
+    got = A.review_clusters(spark.createDataFrame(pairs, "a string, b string, category string, strength string")).collect()
+    assert {r.cluster for r in got} == {"n0000", "n0000~z"} and len(got) == 301
+
+
+@pytest.mark.parametrize("ring", [[(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 1)]])
+def test_products_merged_in_a_ring(spark, ring):
+    with pytest.raises(ValueError):
+        A.resolve_merged(spark.createDataFrame([*ring, (7, 8), (8, None)], "product_id long, merged_into long"))
+
+
+def test_a_long_chain_of_merges(spark):
+    got = A.resolve_merged(spark.createDataFrame([(k, k - 1 if k else None) for k in range(200)], "product_id long, merged_into long")).collect()
+    assert len(got) == 200 and {r.survivor for r in got} == {0}

@@ -123,6 +123,38 @@ def currency(currency_cell: Column, price_cell: Column) -> Column:
     return F.struct(found.alias("currency"), warning.alias("warning"))
 
 
+#: Spellings of currencies, codes that count inside a price, and the currencies that a symbol may stand for.
+CURRENCY_WORDS = {"US$": "USD", "RMB": "CNY", "YUAN": "CNY", "EURO": "EUR", "EUROS": "EUR"}
+PRICE_CODES = "USD|EUR|GBP|CNY|CAD|JPY|MXN|AUD"
+FORMAT_CODES = "USD|EUR|GBP|CNY|CAD|JPY"
+SYMBOLS = {"$": ["USD", "CAD", "AUD", "MXN", "NZD", "HKD", "SGD"], "€": ["EUR"], "£": ["GBP"], "¥": ["CNY", "JPY"]}
+
+
+def currency_code(c: Column, loose: bool = False) -> Column:
+    """The code that a text states: a word, three letters, or the one symbol that means one currency; loose: also within a text."""
+    t = F.upper(F.trim(fold_width(c)))
+    t = F.translate(t, "￥￡", "¥£")
+    found = [F.when(t == w, F.lit(code)) for w, code in CURRENCY_WORDS.items()] + [F.when(t.rlike("^[A-Z]{3}$"), t)]
+    if loose:
+        found += [F.when(F.contains(t, F.lit(w)), F.lit(code)) for w, code in CURRENCY_WORDS.items()]
+        found.append(F.nullif(F.regexp_extract(t, rf"(?U)\b({PRICE_CODES})\b", 1), F.lit("")))
+    seen = F.array_distinct(F.regexp_extract_all(t, F.lit("([$€£¥])"), F.lit(1)))
+    found += [F.when((F.size(seen) == 1) & (seen[0] == s), F.lit(codes[0])) for s, codes in SYMBOLS.items() if len(codes) == 1]
+    return F.coalesce(*found)
+
+
+def format_currency(c: Column) -> Column:
+    """The symbol (else the code) that a cell's number format shows, or null."""
+    t = text_of(c)
+    bracket = F.regexp_extract(t, r"\[\$([^\]-]+)", 1)
+    shown = F.when(bracket != "", bracket).otherwise(t)
+    return F.coalesce(*(F.when(F.contains(shown, F.lit(s)), F.lit(s)) for s in ("€", "£", "¥", "$")), F.nullif(F.regexp_extract(F.upper(shown), rf"(?U)\b({FORMAT_CODES})\b", 1), F.lit("")))
+
+
+def currencies_by_symbol() -> Column:
+    return F.create_map(*(x for s, codes in SYMBOLS.items() for x in (F.lit(s), F.array(*map(F.lit, codes)))))
+
+
 def lead_days(c: Column) -> Column:
     """C11: the largest number, times 7 for weeks or 30 for months."""
     low = F.lower(text_of(c))
@@ -167,9 +199,9 @@ def moq(c: Column) -> Column:
 
 
 def quote_date(c: Column) -> Column:
-    """Seven written forms; day and month are told apart only where one exceeds 12."""
+    """Nine written forms; day and month are told apart only where one exceeds 12."""
     t = F.trim(text_of(c))
-    forms = F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd", "d MMM yyyy", "yyyy年M月d日"))).cast("date")
+    forms = F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyyMMdd", "yyyy年M月d日"))).cast("date")
     a, b, y = (F.regexp_extract(t, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", i).try_cast("int") for i in (1, 2, 3))
     made = F.when((a > 12) & (b <= 12), F.try_to_timestamp(F.concat_ws("-", y, F.lpad(b.cast("string"), 2, "0"), F.lpad(a.cast("string"), 2, "0")), F.lit("yyyy-MM-dd"))).when(
         (b > 12) & (a <= 12), F.try_to_timestamp(F.concat_ws("-", y, F.lpad(a.cast("string"), 2, "0"), F.lpad(b.cast("string"), 2, "0")), F.lit("yyyy-MM-dd"))

@@ -15,7 +15,7 @@ from test_decisions import one_by_one
 
 from partloom.fixture import Catalog
 from partloom.operators import importing, matching, quality
-from partloom.plans import archive, catalog, exports, imports, ingesting, review, sheets, standardize, streams  # noqa: F401
+from partloom.plans import archive, catalog, exports, imports, ingesting, records, review, sheets, standardize, streams  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

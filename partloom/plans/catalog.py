@@ -298,6 +298,27 @@ def match_queries(c: Catalog) -> DataFrame:
     return matched(c).select(*COLS, "rank")
 
 
+#: A photo of every part: a number with unreadable places where it is the part's own, a name, and a brand that may be wrong.
+TYPED = "part_id % 5 <> 4 AND name_en <> ''"
+WITH_BRAND = f"SELECT part_id AS query_id, 'name: ' || name_en || ' ' || CASE part_id % 3 WHEN 0 THEN make ELSE 'Nosuch' END AS raw FROM parts WHERE part_id % 3 <> 2 AND {TYPED}"
+WITHOUT_BRAND = f"SELECT part_id AS query_id, 'name: ' || name_en AS raw FROM parts WHERE {TYPED}"
+PHOTOS = f"""WITH n AS MATERIALIZED (SELECT p.part_id AS query_id, n.part_id, CASE WHEN number = number_norm THEN 0 ELSE 1 END AS level, CASE WHEN number = number_norm THEN 1000 ELSE 950 END AS milli, number, n.kind AS number_kind FROM parts p JOIN numbers n ON n.part_id = p.part_id AND n.kind = 'OE' WHERE p.part_id % 4 < 2 AND p.part_id % 10 BETWEEN 1 AND 8),
+  t AS MATERIALIZED ({NAME.replace(ASKED, WITH_BRAND)}), u AS MATERIALIZED ({NAME.replace(ASKED, WITHOUT_BRAND)}), every AS (SELECT * FROM n UNION ALL SELECT * FROM t WHERE query_id NOT IN (SELECT query_id FROM n) UNION ALL SELECT * FROM u WHERE query_id NOT IN (SELECT query_id FROM n) AND query_id NOT IN (SELECT query_id FROM t))
+  SELECT query_id AS finding_id, part_id, level, milli, number, number_kind, row_number() OVER (PARTITION BY query_id ORDER BY level, milli DESC, score DESC, sku) AS rank FROM every JOIN (SELECT part_id, score, sku FROM ({SCORED})) USING (part_id) QUALIFY rank <= 20"""
+
+
+@register("e17_photo_candidates", PHOTOS, *FLAG_TABLES)
+def photo_candidates(c: Catalog) -> DataFrame:
+    k = F.col("part_id")
+    own = c.numbers.filter("kind = 'OE'").select("part_id", F.col("number_norm").alias("norm"))
+    spoiled = F.concat(F.lit("?"), F.substring("norm", 1, 3), F.lit("?"), F.substring("norm", 4, 30))
+    shown = F.when((k % 4 < 2) & (k % 10).between(1, 8), F.array(F.lit("??"), spoiled)).when(k % 2 == 0, F.array(F.lit(" ? ")))
+    kind = F.when(k % 5 == 4, "unknown").otherwise(F.col("name_en"))
+    hints = F.when(k % 3 == 0, F.array("make", F.lit("Nosuch"))).when(k % 3 == 1, F.array(F.lit("Nosuch")))
+    findings = c.parts.join(own, "part_id").select(k.alias("finding_id"), shown.alias("visible_numbers"), kind.alias("part_type"), hints.alias("brand_hints"))
+    return M.photo_candidates(findings, c.parts, numbers_(c), c.fitments, Q.completeness(flagged(c))).select("finding_id", *COLS[1:], "rank")
+
+
 @register("k2_log_inquiries", f"SELECT query_id, raw, regexp_replace(lower(text), '[\\s\\-_./]+', '', 'g') AS query_key, coalesce(n_hits, 0) AS n_hits, matched_part, found FROM ({PARSED}) LEFT JOIN (SELECT query_id, count(*) AS n_hits, min(part_id) FILTER (WHERE rank = 1) AS matched_part, string_agg(part_id::VARCHAR, ',' ORDER BY rank) FILTER (WHERE rank <= 10) AS found FROM ({MATCHED}) GROUP BY query_id) USING (query_id) WHERE norm <> '' OR text <> ''", *FLAG_TABLES)
 def log_inquiries(c: Catalog) -> DataFrame:
     return M.log_inquiries(parsed(c), matched(c)).withColumn("found", F.array_join(F.transform("found", lambda x: x["part_id"].cast("string")), ","))

@@ -5,6 +5,11 @@ Null input counts as an empty string unless a function says otherwise. Every fun
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from functools import cache
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +33,37 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+@cache
+def compatible() -> tuple[str, str, str, str]:
+    """Unicode's compatibility forms, by its own table: those of one character and what they stand for; of those that stand for
+    several, a character class and a map as JSON."""
+    forms = ((chr(i), unicodedata.normalize("NFKC", chr(i))) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000)
+    one, many = [], []
+    for form, text in forms:
+        if form != text:
+            (one if len(text) == 1 else many).append((form, text))
+    runs = [[form for _, (form, _) in run] for _, run in groupby(enumerate(many), lambda x: ord(x[1][0]) - x[0])]
+    code = lambda form: f"\\x{{{ord(form):x}}}"
+    return "".join(f for f, _ in one), "".join(t for _, t in one), "[" + "".join(f"{code(r[0])}-{code(r[-1])}" for r in runs) + "]", json.dumps(dict(many))
+
+
+def compat(c: Column) -> Column:
+    """A text in its compatible form: ligatures, circled, half-width and full-width characters, powers and units as plain ones; null gives ''.
+
+    ASCII texts pass as they are. Each character folds alone: a letter before a combining mark stays two characters.
+    """
+    one, to, several, table = compatible()
+    t = text_of(c)
+    plain = F.translate(t, one, to)
+    each = F.transform(F.split(plain, ""), lambda ch: F.coalesce(F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), ch), ch))
+    return F.when(t.rlike(r"^\p{ASCII}*$"), t).when(plain.rlike(several), F.array_join(each, "")).otherwise(plain)
+
+
+def full_norm(c: Column) -> Column:
+    """C1 of any text: number_norm of its compatible form."""
+    return number_norm(compat(c))
+
+
 def fold_width(c: Column) -> Column:
     """Compatibility folding of full-width characters, the only ones that supplier numbers use."""
     return F.translate(text_of(c), FULL_WIDTH, HALF_WIDTH)
@@ -43,7 +79,7 @@ def split_numbers(c: Column) -> Column:
 
     A slash divides only where every side is long enough to be a number.
     """
-    chunks = F.split(fold_width(c), HARD_SEPARATORS)
+    chunks = F.split(compat(c), HARD_SEPARATORS)
     sides = lambda x: F.split(x, "/")
     full = lambda x: F.forall(sides(x), lambda p: F.length(number_norm(p)) >= MIN_NUMBER)
     pieces = F.flatten(F.transform(chunks, lambda x: F.when(F.contains(x, F.lit("/")) & full(x), sides(x)).otherwise(F.array(x))))

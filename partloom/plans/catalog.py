@@ -329,7 +329,7 @@ def log_inquiries(c: Catalog) -> DataFrame:
 
 @register("c1_number_norm", "SELECT part_id, kind, number, number_norm FROM numbers", "numbers")
 def number_norm(c: Catalog) -> DataFrame:
-    return c.numbers.select("part_id", "kind", "number", C.number_norm(F.col("number")).alias("number_norm"))
+    return c.numbers.select("part_id", "kind", "number", C.full_norm(F.col("number")).alias("number_norm"))
 
 
 @register(

@@ -79,7 +79,12 @@ def split_numbers(c: Column) -> Column:
 
     A slash divides only where every side is long enough to be a number.
     """
-    chunks = F.split(compat(c), HARD_SEPARATORS)
+    return split_plain(compat(c))
+
+
+def split_plain(c: Column) -> Column:
+    """C2 of a text that is in its compatible form already."""
+    chunks = F.split(c, HARD_SEPARATORS)
     sides = lambda x: F.split(x, "/")
     full = lambda x: F.forall(sides(x), lambda p: F.length(number_norm(p)) >= MIN_NUMBER)
     pieces = F.flatten(F.transform(chunks, lambda x: F.when(F.contains(x, F.lit("/")) & full(x), sides(x)).otherwise(F.array(x))))

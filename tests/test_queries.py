@@ -12,10 +12,11 @@ import duckdb
 import pandas as pd
 import pytest
 from test_decisions import one_by_one
+from test_intake import agree, tables
 
 from partloom.fixture import Catalog
 from partloom.operators import importing, matching, quality
-from partloom.plans import archive, catalog, exports, imports, ingesting, records, review, sheets, standardize, streams  # noqa: F401
+from partloom.plans import archive, catalog, exports, imports, ingesting, intake, records, review, sheets, standardize, streams  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -133,7 +134,17 @@ def check_m3(spark, c, got):
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want.select("query_id", "part_id", "level", "milli", "rank").collect()) and got
 
 
-CHECKS = {"j7_review_clusters": check_j7, "k6_plan_import": check_k6, "f7_import_counts": check_f7, "j15_apply_decisions": check_j15, "j16_bulk_confirmed": check_j16, "e4_match_blocked": check_e4, "m3_stream_match": check_m3}
+def check_k9(spark, c, got):
+    store = intake.catalog(c)
+    before = tables(store)
+    records = intake.N.build_records(intake.cells(c), intake.SPELLINGS)
+    _, plan = intake.N.apply_import(store, records, intake.BATCH)
+    want = agree(records.collect(), before, tables(store), plan.collect(), intake.BATCH)
+    assert {r.row_no: r.result for r in got} == {no: result for no, (result, _) in want.items()}
+    assert {result for result, _ in want.values()} == set(importing.RESULTS)
+
+
+CHECKS = {"k9_apply_import": check_k9, "j7_review_clusters": check_j7, "k6_plan_import": check_k6, "f7_import_counts": check_f7, "j15_apply_decisions": check_j15, "j16_bulk_confirmed": check_j16, "e4_match_blocked": check_e4, "m3_stream_match": check_m3}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))

@@ -128,3 +128,24 @@ def test_mapping(spark):
     templates = spark.createDataFrame([(1, "Price", "cost")], "supplier_id int, header string, field string")
     got = {r.header: (r.field, r.confidence, r.source) for r in G.suggest_mapping(headers, synonyms, templates).collect()}
     assert got == {"OE No.": ("oe_numbers", 1.0, "synonym"), "Weight KG": ("weight", 0.9, "unit"), "Mystery": ("ignore", 0.0, "none"), "Price": ("cost", 1.0, "template")}
+
+
+def test_pairs_meet_once_and_are_never_shuffled(spark):
+    """Records that share all three blocks give one pair each, and no exchange carries pairs."""
+    row = lambda i, oe, model: (i, 1, f"r{i}", "Lamp", "left", "Volvo", model, 2000, None, 100, 200, 300, oe)
+    fields = "identity string, version int, record_id string, part_type string, position string, make string, model string, year_from int, year_to int, dim_a int, dim_b int, dim_c int, oe string, supplier_id int"
+    df = spark.createDataFrame([(*row(i, oe, m), 7) for i, oe, m in (("a", "12345", "FH"), ("b", "12345", "FH"), ("c", "", "FH"), ("d", "12345", ""), ("e", "", ""))], fields)
+    pairs = A.candidate_pairs(df)
+    assert sorted(map(tuple, pairs.collect())) == [("a", "b"), ("a", "c"), ("a", "d"), ("a", "e"), ("b", "c"), ("b", "d"), ("b", "e"), ("c", "d"), ("c", "e"), ("d", "e")]
+    plain, whole = A.evidence_hash(A.judge_pairs(pairs, df), df), A.judged_pairs(df, evidence=True)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, whole.collect()))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    above, join = plan.split("Join", 1)  # the last join is the one on blocks
+    assert "Aggregate" not in above and "block" in join.splitlines()[0]
+
+
+def test_only_the_newest_rows_of_a_task_are_shuffled(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", None), (None, 3)], "identity string, version int")
+    newest = A.current_records(df)
+    assert sorted(map(tuple, newest.collect())) == [("a", 2), ("a", 2)]
+    assert "WindowGroupLimit" in newest._jdf.queryExecution().toString()

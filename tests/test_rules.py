@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from partloom.functions import columns as C
 from partloom.operators import archive as A
+from partloom.operators import exports as X
 from partloom.operators import importing as I
 from partloom.operators import matching as M
 from partloom.operators import quoting as O
@@ -149,3 +150,28 @@ def test_only_the_newest_rows_of_a_task_are_shuffled(spark):
     newest = A.current_records(df)
     assert sorted(map(tuple, newest.collect())) == [("a", 2), ("a", 2)]
     assert "WindowGroupLimit" in newest._jdf.queryExecution().toString()
+
+
+def test_hits_of_number_searches_are_not_shuffled(spark):
+    """A number holds the text at two places, two queries ask the same, and a record without a hit stays out."""
+    queries = spark.createDataFrame([(1, "00123"), (2, "00123"), (3, "2000123"), (4, "0012"), (5, "99999"), (6, "")], "query_id long, norm string")
+    records = spark.createDataFrame([("a", "2000123"), ("b", "7700123"), ("c", "0012300123"), ("d", "5551234"), ("e", "")], "identity string, oe string")
+    hits = X.search_numbers(queries, records)
+    assert sorted(map(tuple, hits.collect())) == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (2, "c"), (3, "a")]
+    assert "Aggregate" not in hits._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+    members = spark.createDataFrame([("a", 10), ("b", 10), ("c", 11), ("d", 12)], "identity string, product_id long")
+    ranked = X.ranked_by_number(queries, records, members)
+    want = X.ranked_products(hits.withColumn("by_number", F.lit(True)), members)
+    columns = ("query_id", "product_id", "by_number", "n_hits", "rank")
+    assert sorted(map(tuple, ranked.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_products_come_along_with_pairs(spark):
+    df = spark.createDataFrame([record("1:a"), record("2:b"), record("3:c"), record("4:d")], RECORD)
+    members = spark.createDataFrame([("1:a", 7, "grouped"), ("2:b", 7, "grouped"), ("3:c", 8, "grouped")], "identity string, product_id long, status string")
+    carried = A.judged_pairs(df.join(members.select("identity", "product_id"), "identity", "left"), carry=("product_id",))
+    plain = A.judged_pairs(df)
+    for new, old in ((X.items_of_products(carried), X.items_for_product(plain, members)), (X.close_shared(carried, members), X.close_implied(plain.select("a", "b"), members))):
+        assert sorted(map(tuple, new.select("product_id", "a", "b").collect())) == sorted(map(tuple, old.select("product_id", "a", "b").collect()))
+    above, join = X.items_of_products(carried)._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    assert "Aggregate" not in above and "block" in join.splitlines()[0]

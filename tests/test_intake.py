@@ -235,6 +235,16 @@ def test_stated_values(store, stored, overwrite, verified, name):
     assert [o.unit_cost_usd for o in after["offers"]] == [Decimal("18.50")]
 
 
+def test_one_new_sku_in_several_rows(store, stored):
+    publish(store, stored, parts=[part(1, "FIT-A")])
+    rows = [row(SKU="NEW-1", OEM_NO="30000001"), row(SKU="NEW-1", OEM_NO="30000002"), row(SKU="NEW-1", OEM_NO="30000003"), row(OEM_NO="30000002", Part_No="HB-9")]
+    N.apply_parted(store, N.build_records(sheet(stored, *rows), SPELLINGS), batch())
+    log = {r.row_no: r.result for r in store.read("import_rows").collect()}
+    assert log == {2: "new", 3: "updated", 4: "updated", 5: "new"} and store.read("parts").filter("sku = 'NEW-1'").count() == 1
+    [p] = store.read("parts").filter("sku = 'NEW-1'").collect()
+    assert {n.number for n in store.read("numbers").filter(F.col("part_id") == p.part_id).collect() if n.kind == "OE"} == {"30000001", "30000002", "30000003"}
+
+
 def test_all_or_nothing(store, stored, monkeypatch):
     publish(store, stored, parts=[part(1, "FIT-A")])
     before, version = tables(store), store.version()

@@ -142,6 +142,20 @@ def test_rules(stored, odd, empty, no_labels):
     assert rules.apply_rules(empty, no_labels).count() == 0
 
 
+def test_thresholds_see_every_labelled_row(spark):
+    n = len(rules.FAMILIES)
+    r = np.random.default_rng(4)
+    good, scores = r.random(30_000) < 0.9, np.round(r.random((30_000, n)), 4)  # many ties
+    scores[:, 0] = 0.5
+    table = spark.createDataFrame([(bool(g), [float(x) for x in s]) for g, s in zip(good, scores)], "good boolean, scores array<double>")
+    want = []
+    for k in range(n):
+        top = np.sort(scores[good, k])[-1 - int(0.01 * good.sum())]
+        worse = scores[~good, k][scores[~good, k] > top]
+        want.append((top + worse.min()) / 2 if len(worse) else top)
+    assert rules.thresholds(table, 0.01) == pytest.approx(want)
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------
 
 

@@ -532,3 +532,15 @@ def test_pipeline(spark, tmp_path):
             left = ngram_join.jaccard_groups(docs).filter("n_shingles > 0")
             assert left.filter("doc_id <> component_id").count() == 0
     assert docs.select(F.sum("length")).first()[0] > 0
+
+
+def test_encoder_keeps_frequent_words(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 40)
+    encoder = packing.WordEncoder(tokenizer_path())
+    learnt, real = Counter(), encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda: (learnt.update(encoder.memo.lacking), real()))
+    for k in range(50):
+        text = "brake pad " + " ".join(f"{a}{b}é" for a in "abcd" for b in "wxyz"[: 1 + k % 4]) + " " + "".join(chr(97 + k * j % 26) for j in range(9))
+        [ids] = encoder([text])
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.direct and learnt["brake"] == learnt["pad"] == 1

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
-SEGMENT, GRID, LEAST, MEMO = 1 << 18, 128, 512, 200_000
+SEGMENT, GRID, LEAST, MEMO = 1 << 18, 128, 512, 600_000
 
 #: ASCII without the apostrophe, and the letters of Latin-1: text on which lower-casing and cutting between letters and
 #: other characters commute with the tokenizer's own normalizing and cutting.

@@ -1,6 +1,7 @@
 """Imports: records of cells, plans, and their whole or no effect; the fold below does a batch one row after the other."""
 
 import datetime as dt
+import re
 import unicodedata
 from decimal import ROUND_HALF_EVEN, Decimal
 
@@ -309,3 +310,18 @@ def test_numbers_of_other_forms(spark):
     df = spark.createDataFrame([("⑫３４５－６；ﬁ 77、ﬀ77/１２３４５",)], "t string")
     assert df.select(C.split_numbers(F.col("t")).alias("x")).first().x == ["12345-6", "fi 77", "ff77/12345"]
     assert "Python" not in df.select(C.full_norm(F.col("t")).alias("x"))._jdf.queryExecution().toString()
+
+
+def test_a_number_is_read_once(spark):
+    """What stands in a lambda is computed anew wherever it stands: each format of a brand stands once, as each number is read once."""
+    rows = spark.createDataFrame([("2000123; W712; 2000 123",)], "t string").select(N._numbers(F.col("t"), F.lit("oe_number"), F.lit(0.9)).alias("x"))
+    assert rows._jdf.queryExecution().analyzed().toString().lower().count("rlike(") == len(C.BRAND_FORMATS)
+    assert [(x.number, x.norm, x.kind, x.brand, float(x.confidence)) for x in rows.first()[0]] == [("2000123", "2000123", "OE", None, 0.9), ("W712", "W712", "CROSS", "MANN-FILTER", 0.6)]
+
+
+def test_values_are_read_in_their_own_cells_only(stored):
+    """Amounts, minimums and lead times are computed where the field asks for them, not in every cell."""
+    rows = N.build_records(stored([(1, 0, "Price", "unit_cost", 1.0, "5")], "row_no long, place int, header string, field string, confidence double, text string"), {})
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall(r"max_by\(CASE WHEN \(_?f#\d+ = ", plan)) == 7
+    assert float(rows.first()["unit_cost"]) == 5.0

@@ -170,10 +170,13 @@ def forest(labelled: DataFrame, max_train: int = 20_000, trees: int = 40, depth:
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(vectors)
 
 
-def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, cut: float = 0.5, **options) -> DataFrame:
-    """Every candidate: doc_id, start, candidate, before, after, FEATURES, score and is_secret."""
+def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, cut: float = 0.5, among: DataFrame | None = None, **options) -> DataFrame:
+    """Every candidate: doc_id, start, candidate, before, after, FEATURES, score and is_secret.
+
+    among: those of docs that may hold a candidate, where that is known already.
+    """
     dictionary_of = dictionary(docs)
-    rows = stash(findings(docs, dictionary_of))
+    rows = stash(findings(docs if among is None else among, dictionary_of))
     known = planted(docs, dictionary_of) if labelled is None else labelled
     model = forest(known, **options)
     if isinstance(model, float):
@@ -184,16 +187,22 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, cut: float
 
 
 def redact_secrets(docs: DataFrame, placeholder: str = "[SECRET]", **options) -> DataFrame:
-    """docs with every secret in `text` replaced; other columns and rows stay, n_chars follows the text where present."""
-    rows = numbered(docs.select(F.struct(*docs.columns).alias("doc"), "text"), "__row")
-    hits = scan_secrets(rows.select(F.col("__row").alias("doc_id"), "text"), **options).filter("is_secret")
+    """docs with every secret in `text` replaced; other columns and rows stay, n_chars follows the text where present.
+
+    Only texts that hold a candidate meet their spans; the others aren't shuffled.
+    """
+    may = F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("doc"), may.alias("__may")), "__row").withColumn("text", F.col("doc.text"))
+    some, texts = rows.filter("__may"), (F.col("__row").alias("doc_id"), "text")
+    hits = scan_secrets(rows.select(*texts), among=some.select(*texts), **options).filter("is_secret")
     spans = hits.groupBy(F.col("doc_id").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("start", F.length("candidate").alias("size")))).alias("__spans"))
     step = lambda a, s: F.struct(
         F.concat(a["done"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(placeholder)).alias("done"),
         (s["start"] + s["size"]).cast("long").alias("at"),
     )
     built = F.aggregate("__spans", F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["done"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2147483647))))
-    out = rows.join(spans, "__row", "left").withColumn("text", F.when(F.col("__spans").isNotNull(), built).otherwise(F.col("text")))
+    met = some.join(spans, "__row", "left").unionByName(rows.filter("not __may"), allowMissingColumns=True)
+    out = met.withColumn("text", F.when(F.col("__spans").isNotNull(), built).otherwise(F.col("text")))
     size = F.when(F.col("__spans").isNotNull(), F.length("text")).otherwise(F.col("doc.n_chars") if "n_chars" in docs.columns else F.lit(0))
     new = {"text": F.col("text"), "n_chars": size}
     return out.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col("doc").getField(c)).alias(c) for c in docs.columns))

@@ -250,6 +250,20 @@ def test_toxicity(stored, odd, empty, no_labels):
     assert toxicity.score_toxicity(empty, no_labels).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(stored, monkeypatch):
+    """Beyond 5,000 labelled rows too, in several shards: a word that every text has is counted in each of them."""
+    docs = stored([doc(i, f"common {'vile' if i % 6 == 0 else 'fine'} " + " ".join(words(i, 3))) for i in range(7200)], DOCS)
+    labels = stored([(i, 1, int(i % 6 == 0)) for i in range(7200)], "doc_id long, quality int, toxic int")
+    counted, plain = [], toxicity.Convolution.__init__
+    monkeypatch.setattr(toxicity.Convolution, "__init__", lambda self, with_row, *rest: (counted.append(with_row[toxicity.rows_of("common")[0]]), plain(self, with_row, *rest))[1])
+    monkeypatch.setattr(toxicity, "SHARD", 1000)
+    got = toxicity.score_toxicity(docs, labels).toPandas()
+    learnt = [i for i in range(7200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    kept_out = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0).filter(F.col("doc_id").isin(learnt)).count()
+    assert len(learnt) > 5000 and counted == [len(learnt) - kept_out]
+    assert (got["predicted"] == (got["doc_id"] % 6 == 0)).mean() > 0.99
+
+
 # --- suffix tree -----------------------------------------------------------------------------------------------------
 
 
